@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import bpe, secrets, url_filters, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_bpe": bpe.op3_bpe,
+    "op5_secrets": secrets.op5_secrets,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }
