@@ -1,4 +1,304 @@
-"""Named queries over the test tables and their SQL."""
+"""Named queries over the test tables and, for each, the SQL that a second engine checks it with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lines_of, saturating_unsigned, words_on
+from ..operators.aggregators import COUNT, Declarative, General
+from ..operators.dataset import Dataset, read_partitions_from
+from ..operators.partitioners import ById, Hash, Range
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Dataset:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return Dataset(df.select(*columns) if columns else df)
+
+
+def nation_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").map(lambda k, v: {"key": k, "total": v})
+    # totals by customer before the join with nations: the join then has a row a customer
+    totals = orders.sum_by_key("key", "total")
+    customers = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey").map(lambda k, n: {"key": k, "nation": n})
+    by_nation = totals.join(customers, "key").map(lambda k, t, n: {"key": n, "total": t}).sum_by_key("key", "total")
+    nations = load(spark, sf_dir, "nation", "n_nationkey", "n_name").map(lambda k, n: {"key": k, "n_name": n})
+    return by_nation.join(nations, "key").map(lambda k, t, n: {"n_name": n, "total": F.round(t, 2)}).sort("n_name").df
+
+
+def new_from_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = [[("cougar", 2), ("bear", 7)], [], [("squirrel", 3)]]
+    return Dataset.new_from_list(spark, data, "key string, value int").map(lambda k, v: [F.spark_partition_id().alias("p"), k, v]).df
+
+
+def map_triple_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").map(lambda k, q: {"l_orderkey": k, "q3": q * 3}).df
+
+
+def map_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = {"factor": 4, "plus": 5}
+    return load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").map_with_state(state, lambda s, k, n: {"l_orderkey": k, "x": n * s["factor"] + s["plus"]}).df
+
+
+def filter_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").filter(lambda o, n, q: q > 45).map(lambda o, n, q: [o, n]).df
+
+
+def filter_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").filter_with_state({"F", "P"}, lambda s, k, x: x.isin(sorted(s))).map(lambda k, x: [k]).df
+
+
+def flat_map_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
+    return d.flat_map(lambda k, n: F.array_repeat(F.struct(k, n.alias("x")), n)).df
+
+
+def flat_map_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation", "n_nationkey").flat_map_with_state(3, lambda times, k: F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: k * 10 + i), "x").df
+
+
+def _sums(batches, pid: int):
+    total, n = 0.0, 0
+    for b in batches:
+        total += pa.compute.sum(b.column("l_quantity")).as_py() or 0.0
+        n += b.num_rows
+    yield pa.record_batch([pa.array([pid], pa.int32()), pa.array([total], pa.float64()), pa.array([n], pa.int64())], ["p", "s", "n"])
+
+
+def map_partitions_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").partition_by(ById(8, lambda k: k % 8), "l_orderkey")
+    return d.map_partitions(_sums, "p int, s double, n bigint").df
+
+
+def _count(limit: int, batches, pid: int):
+    n = sum(pa.compute.sum(pa.compute.greater(b.column("o_totalprice"), limit)).as_py() or 0 for b in batches)
+    yield pa.record_batch([pa.array([pid], pa.int32()), pa.array([n], pa.int64())], ["p", "n"])
+
+
+def map_partitions_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").partition_by(ById(5, lambda k: k % 5), "o_orderkey")
+    return d.map_partitions_with_state(100_000, _count, "p int, n bigint").df
+
+
+def union_nationkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer", "c_nationkey").map(lambda k: {"k": k})
+    s = load(spark, sf_dir, "supplier", "s_nationkey").map(lambda k: {"k": k})
+    return c.union(s, s).df
+
+
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = load(spark, sf_dir, "documents", "text").flat_map(lines_of, "l").flat_map(words_on, "w")
+    return words.map(lambda w: {"w": w, "c": F.lit(1).cast("bigint")}).sum_by_key("w", "c").df
+
+
+def sum_by_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events", "event_type").map(lambda t: {"event_type": t, "c": F.lit(1).cast("bigint")}).sum_by_key("event_type", "c").df
+
+
+def sum_by_key_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity").sum_by_key("l_returnflag", "l_quantity", Hash(3), "s").df
+
+
+def shuffle_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = Declarative(lambda v: F.sum(v) / F.count(v))
+    return load(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").shuffle("l_suppkey", "l_quantity", mean, out="m").df
+
+
+def shuffle_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of prices by customer as a user-defined combiner."""
+    none = F.lit(None).cast("struct<low:double,high:double>")
+    merge = lambda a, low, high: F.when(a.isNull(), F.struct(low.alias("low"), high.alias("high"))).otherwise(F.struct(F.least(a["low"], low).alias("low"), F.greatest(a["high"], high).alias("high")))
+    spread = General(none, lambda a, v: merge(a, v, v), lambda a, b: F.when(b.isNull(), a).otherwise(merge(a, b["low"], b["high"])), lambda a: a["high"] - a["low"])
+    return load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").shuffle("o_custkey", "o_totalprice", spread, out="spread").df
+
+
+def group_by_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_custkey", "o_orderkey").map(lambda k, v: [k, v, v.alias("o")]).group_by("o_custkey", "o_orderkey", order="o", out="os").df
+
+
+def join_cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer", "c_custkey", "c_name")
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey").map(lambda k, v: {"c_custkey": k, "o_orderkey": v})
+    return c.join(o, "c_custkey").df
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[Dataset, Dataset]:
+    c = load(spark, sf_dir, "customer", "c_custkey", "c_name").filter(lambda k, n: k % 3 != 0).map(lambda k, n: {"k": k, "l": n})
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice").filter(lambda k, v, p: (k % 2 == 0) & (p > 150_000)).map(lambda k, v, p: {"k": k, "r": v})
+    return c, o
+
+
+def cogroup_cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    g = c.map(lambda k, v: [k, v, v.alias("o")]).cogroup(o.map(lambda k, v: [k, v, v.alias("o")]), "k", "l", "r", ("o", "o"))
+    return g.df
+
+
+def left_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return c.join(o, "k", "left").df
+
+
+def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return c.join(o, "k", "full").df
+
+
+def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return c.join(o, "k", "left_semi").df
+
+
+def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return c.join(o, "k", "left_anti").df
+
+
+def distinct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events", "event_type").distinct().df
+
+
+def intersect_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return Dataset(c.df.select("k")).intersect(Dataset(o.df.select("k"))).df
+
+
+def subtract_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return Dataset(c.df.select("k")).subtract(Dataset(o.df.select("k"))).df
+
+
+def count_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events", "user_id", "event_id").shuffle("user_id", "event_id", COUNT, out="n").df
+
+
+def global_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_quantity").reduce(F.count("*").alias("n"), F.sum("l_quantity").alias("s"), F.max("l_quantity").alias("m")).df
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").top(25, F.desc("o_totalprice"), "o_orderkey").df
+
+
+def sort_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total order over a fixed number of partitions; the position is made from partition sizes and places within them,
+    without gathering all rows in one task."""
+    d = load(spark, sf_dir, "orders", "o_totalprice", "o_orderkey").sort("o_totalprice", "o_orderkey", partitions=8).df
+    d = d.select("o_orderkey", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    d = d.withColumn("i", F.col("i").bitwiseAND((1 << 33) - 1))
+    sizes = {r["p"]: r["n"] for r in d.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    starts = F.create_map(*(F.lit(x) for p in range(8) for x in (p, sum(sizes.get(q, 0) for q in range(p)))))
+    return d.select("o_orderkey", (starts[F.col("p")] + F.col("i") + 1).cast("bigint").alias("pos"))
+
+
+def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "orders", "o_custkey").partition_by(ById(4, lambda k: k % 4), "o_custkey").sample(10, seed=7)
+    return d.map(lambda k: {"p": k % 4, "n": F.lit(1).cast("bigint")}).sum_by_key("p", "n").df
+
+
+def partition_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "lineitem", "l_orderkey").partition_by(ById(8, lambda k: k % 8), "l_orderkey")
+    return d.map(lambda k: {"p": F.spark_partition_id().cast("bigint"), "n": F.lit(1).cast("bigint")}).sum_by_key("p", "n").df
+
+
+def partition_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "lineitem", "l_quantity").partition_by(Range((10.0, 20.0, 20.0, 40.0)), "l_quantity")
+    return d.map(lambda q: {"p": F.spark_partition_id(), "n": F.lit(1).cast("bigint")}).sum_by_key("p", "n").df
+
+
+def save_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{root.removeprefix('file://').rstrip('/')}/partfiles-{spark.sparkContext.applicationId}"
+    load(spark, sf_dir, "nation", "n_nationkey", "n_name").partition_by(ById(4, lambda k: k % 3), "n_nationkey").save(path)
+    lines = read_partitions_from(spark, path, 4).map(lambda i, p, c: {"t": c.cast("string")}).flat_map(lines_of, "l").filter(lambda line: line != "")
+    return lines.map(lambda line: {"n_nationkey": F.split_part(line, F.lit(","), F.lit(1)).cast("int"), "n_name": F.split_part(line, F.lit(","), F.lit(2))}).df
+
+
+def repeat_and_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress 1: repeat each row, then a chain of maps, then sums."""
+    d = load(spark, sf_dir, "lineitem", "l_linenumber", "l_returnflag").flat_map(lambda n, f: F.array_repeat(F.struct(f.alias("f"), n.cast("bigint").alias("x")), n * 4))
+    return d.map(lambda f, x: {"f": f, "x": x * 3}).map(lambda f, x: {"f": f, "x": x * 4}).map(lambda f, x: {"f": f, "x": x * 5}).sum_by_key("f", "x").df
+
+
+def many_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "events", "event_id").map(lambda i: {"event_id": i, "s": F.sin((i * 2).cast("double"))})
+    return d.filter(lambda i, s: s < 0.5).map(lambda i, s: {"event_id": i, "k": saturating_unsigned(s * 1000)}).df
+
+
+def many_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress 2: ten rounds of map, filter, key and union; one plan, whose partitions don't multiply."""
+    d = load(spark, sf_dir, "events", "event_id").map(lambda i: {"event_id": i, "x": (i % 1000).cast("bigint")})
+    for r in range(10):
+        a = d.filter(lambda i, x, r=r: (x + r) % 3 == 0).map(lambda i, x, r=r: {"event_id": i, "x": (x * 2 + r) % 1000})
+        b = d.filter(lambda i, x, r=r: (x + r) % 3 != 0).map(lambda i, x, r=r: {"event_id": i, "x": (x + 1) % 1000})
+        # one narrow pass instead of a union of two scans of all that came before
+        d = d.map(lambda i, x, r=r: {"event_id": i, "x": F.when((x + r) % 3 == 0, (x * 2 + r) % 1000).otherwise((x + 1) % 1000)}) if r else a.union(b)
+    return d.map(lambda i, x: {"x": x, "n": F.lit(1).cast("bigint")}).sum_by_key("x", "n").df
+
+
+def change_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress 4: a row for each customer, and one more if the second snapshot differs."""
+    a = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").map(lambda k, s: {"id": k, "a": s})
+    b = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").map(lambda k, s: {"id": k, "b": F.when(k % 3 == 0, "MOVED").otherwise(s)})
+    changed = a.join(b, "id").flat_map(lambda i, x, y: F.transform(F.when(x != y, F.array(x, y)).otherwise(F.array(x)), lambda c: F.struct(i.alias("id"), c.alias("city"))))
+    return changed.df
+
+
+QUERIES = {f.__name__: f for f in (
+    nation_order_totals, new_from_list, map_triple_qty, map_with_state, filter_qty, filter_with_state, flat_map_repeat, flat_map_with_state,
+    map_partitions_sum, map_partitions_with_state, union_nationkeys, word_count, sum_by_key_events, sum_by_key_qty, shuffle_mean, shuffle_general,
+    group_by_orders, join_cust_orders, cogroup_cust_orders, left_outer, full_outer, semi, anti, distinct_types, intersect_keys, subtract_keys,
+    count_by_key, global_reduce, top_orders, sort_price, sample_size, partition_by_id, partition_by_range, save_roundtrip,
+    repeat_and_sum, many_step, many_rounds, change_tracking)}
+
+_SIDES = """with c as (select c_custkey as k, c_name as l from customer where c_custkey % 3 <> 0),
+o as (select o_custkey as k, o_orderkey as r from orders where o_custkey % 2 = 0 and o_totalprice > 150000) """
+
+_ROUNDS = "select event_id, event_id % 1000 as x from events"
+for _r in range(10):
+    _ROUNDS = f"select event_id, case when (x + {_r}) % 3 = 0 then (x * 2 + {_r}) % 1000 else (x + 1) % 1000 end as x from ({_ROUNDS})"
+
+ORACLE_SQL = {
+    "nation_order_totals": "select n_name, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name",
+    "new_from_list": "select * from (values (0, 'cougar', 2), (0, 'bear', 7), (2, 'squirrel', 3)) t(p, key, value)",
+    "map_triple_qty": "select l_orderkey, l_quantity * 3 as q3 from lineitem",
+    "map_with_state": "select l_orderkey, l_linenumber * 4 + 5 as x from lineitem",
+    "filter_qty": "select l_orderkey, l_linenumber from lineitem where l_quantity > 45",
+    "filter_with_state": "select o_orderkey from orders where o_orderstatus in ('F', 'P')",
+    "flat_map_repeat": "select l_orderkey, unnest(list_resize([]::int[], l_linenumber::bigint, l_linenumber)) as x from lineitem",
+    "flat_map_with_state": "select n_nationkey * 10 + i::int as x from nation, range(3) t(i)",
+    "map_partitions_sum": "select (l_orderkey % 8)::int as p, sum(l_quantity) as s, count(*) as n from lineitem group by 1",
+    "map_partitions_with_state": "select (o_orderkey % 5)::int as p, count(*) filter (o_totalprice > 100000) as n from orders group by 1",
+    "union_nationkeys": "select c_nationkey as k from customer union all select s_nationkey from supplier union all select s_nationkey from supplier",
+    "word_count": "select w, count(*) as c from (select unnest(string_split(l, ' ')) as w from (select unnest(string_split(text, chr(10))) as l from documents)) group by w",
+    "sum_by_key_events": "select event_type, count(*) as c from events group by 1",
+    "sum_by_key_qty": "select l_returnflag, sum(l_quantity) as s from lineitem group by 1",
+    "shuffle_mean": "select l_suppkey, sum(l_quantity) / count(*) as m from lineitem group by 1",
+    "shuffle_general": "select o_custkey, max(o_totalprice) - min(o_totalprice) as spread from orders group by 1",
+    "group_by_orders": "select o_custkey, list_sort(list(o_orderkey)) as os from orders group by 1",
+    "join_cust_orders": "select c_custkey, c_name, o_orderkey from customer join orders on c_custkey = o_custkey",
+    "cogroup_cust_orders": _SIDES + """select coalesce(a.k, b.k) as k, coalesce(a.l, []) as l, coalesce(b.r, []) as r
+      from (select k, list_sort(list(l)) as l from c group by 1) a full join (select k, list_sort(list(r)) as r from o group by 1) b on a.k = b.k""",
+    "left_outer": _SIDES + "select c.k, l, r from c left join o on c.k = o.k",
+    "full_outer": _SIDES + "select coalesce(c.k, o.k) as k, l, r from c full join o on c.k = o.k",
+    "semi": _SIDES + "select k, l from c where exists (select 1 from o where o.k = c.k)",
+    "anti": _SIDES + "select k, l from c where not exists (select 1 from o where o.k = c.k)",
+    "distinct_types": "select distinct event_type from events",
+    "intersect_keys": _SIDES + "select k from c intersect select k from o",
+    "subtract_keys": _SIDES + "select k from c except select k from o",
+    "count_by_key": "select user_id, count(*) as n from events group by 1",
+    "global_reduce": "select count(*) as n, sum(l_quantity) as s, max(l_quantity) as m from lineitem",
+    "top_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
+    "sort_price": "select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as pos from orders",
+    "sample_size": "select o_custkey % 4 as p, least(10, count(*)) as n from orders group by 1",
+    "partition_by_id": "select l_orderkey % 8 as p, count(*) as n from lineitem group by 1",
+    "partition_by_range": "select (case when l_quantity <= 10 then 0 when l_quantity <= 20 then 1 when l_quantity <= 40 then 3 else 4 end)::int as p, count(*) as n from lineitem group by 1",
+    "save_roundtrip": "select n_nationkey, n_name from nation",
+    "repeat_and_sum": "select l_returnflag as f, sum(l_linenumber * l_linenumber * 4 * 60)::bigint as x from lineitem group by 1",
+    "many_step": "select event_id, greatest(0::bigint, floor(s * 1000)::bigint) as k from (select event_id, sin((event_id * 2)::double) as s from events) where s < 0.5",
+    "many_rounds": f"select x, count(*) as n from ({_ROUNDS}) group by 1",
+    "change_tracking": """with j as (select c_custkey as id, c_mktsegment as a, case when c_custkey % 3 = 0 then 'MOVED' else c_mktsegment end as b from customer)
+      select id, a as city from j union all select id, b from j where a <> b""",
+}
