@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, substring_dedup, url_filters, warc
+from . import bpe, ngram_join, secrets, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
     "op5_secrets": secrets.op5_secrets,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
