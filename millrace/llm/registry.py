@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_join, secrets, substring_dedup, url_filters, warc
+from . import bpe, decontamination, ngram_join, secrets, substring_dedup, url_filters, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
     "op5_secrets": secrets.op5_secrets,
