@@ -47,7 +47,7 @@ def crc_mod5(doc_id: str = "doc_id") -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df (for file sources the bytes of the files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def pieces(df: DataFrame, at_least: int = 32, bytes_each: int = 8 << 20) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, ngram_join, secrets, substring_dedup, url_filters, warc
+from . import bpe, decontamination, lm_scoring, ngram_join, secrets, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_secrets": secrets.op5_secrets,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_url_filters": url_filters.op10_url_filters,
 }
