@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, lm_scoring, ngram_join, secrets, substring_dedup, url_filters, warc
+from . import ann, bpe, decontamination, lm_scoring, ngram_join, secrets, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_ann": ann.op9_ann,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
