@@ -13,7 +13,8 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 3. Stars. In each shard the node of most common n-grams leads; (leader, member) pairs whose bound suffices are verified
    and give components. In a large group of near copies nearly all links that matter are these, and there are no more
    of them than members.
-4. R-tree. Shards whose members are still of different components are joined: an R-tree over the count vectors, whose
+   Shards with the very same members are looked at once.
+4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
    nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. Shards
    of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task. Surviving pairs are
    verified.
@@ -317,6 +318,10 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     rows = p.where("node is not null").select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = stored(rows.join(shared, "key", "left_semi").distinct(), "members")
+    # near copies share many keys: of the keys with the very same members one is enough
+    alike = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"), F.count("*").alias("c"))
+    alike = alike.groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c")
+    members = stored(members.join(alike, "key"), "members")
     found = members.select("node").distinct()
     node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec")), "nodes")
     point = lambda c: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"))
@@ -332,12 +337,13 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         s = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
         return stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links")
 
-    leader = members.join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
-    stars = members.withColumnRenamed("node", "b").join(leader, "key").where("a <> b").select("a", "b").distinct()
+    leader = members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
+    stars = members.select("key", F.col("node").alias("b")).join(leader, "key").where("a <> b").select("a", "b").distinct()
     stars = stars.join(point("a"), "a").join(point("b"), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
     links = verified(stars)
     comp = stored(components(links), "components")
-    m = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    # of two members the only pair was a star
+    m = members.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
     open_keys = open_keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     m = m.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
