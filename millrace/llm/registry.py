@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, lm_scoring, ngram_join, secrets, substring_dedup, url_filters, warc
+from . import ann, bpe, decontamination, lm_scoring, ngram_join, secrets, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_secrets": secrets.op5_secrets,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
