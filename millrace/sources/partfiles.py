@@ -26,7 +26,11 @@ def read(spark: SparkSession, path: str, n: int) -> DataFrame:
         return spark.createDataFrame([], "id int, path string, content binary")
     df = spark.read.format("binaryFile").load(files)
     bare = F.regexp_replace("path", "^file:/*", "/")
-    return df.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("int").alias("id"), bare.alias("path"), "content")
+    df = df.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("int").alias("id"), bare.alias("path"), "content")
+    # the source passes over files without a byte; those that it doesn't name exist, or load() had failed
+    home = re.sub("^file:/*", "/", path).rstrip("/")
+    empty = spark.range(n).select(F.col("id").cast("int").alias("id")).join(df.select("id"), "id", "left_anti")
+    return df.unionByName(empty.select("id", F.concat(F.lit(f"{home}/"), "id").alias("path"), F.lit(b"").alias("content")))
 
 
 def default_serialise(rows: list[dict]) -> bytes:
