@@ -2,7 +2,7 @@
 
 Lexicon. From at most TRAIN_ROWS labelled training rows (those whose id hashes lowest; the bound is the only sampling
 here): whole words and word beginnings of STEMS letters that toxic rows hold in at least LEAST different contexts (the
-words before and after; copies of one text have one context), at least RATIO times as often as clean ones do, and too
+words before and after; copies of one text have one context), at least RATIO times as often as clean ones hold it at all, and too
 often for chance (EVIDENCE nats). At most MOST_TERMS such terms, the most telling. The weight of a term is the logarithm
 of that ratio, from 0 to 1 at FULL. Longer terms under a beginning have weights of their own, so ordinary words that
 begin like abuse are told apart.
@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ STEMS = (4, 5, 6, 7, 8, 9)
 FUZZY_FROM, FUZZY, QUOTED = 5, 0.7, 0.4
 SURE, FAINT = 0.75, 0.15
 WINDOW = 25
-MEMO = 400_000
+MEMO = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 #: Words that report what others say, in the languages of the corpus.
 CUES = frozenset("said says wrote quoted quote called reported sagte schrieb zitat genannt dit écrit cité appelé dijo escribió cita llamó".split())
@@ -174,20 +176,42 @@ def _terms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
-def _contexts(terms: frozenset[str] | None):
-    """(term, context, toxic) without repeats in a batch; only of `terms`, or of toxic rows alone."""
+#: Pairs that a task holds before it hands them on.
+HELD = 200_000
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, context): the words before and after as a hash, almost without repeats."""
+
+    def batch(out: set[tuple[str, int]]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        return pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["term", "context"])
+
+    out: set[tuple[str, int]] = set()
+    for b in batches:
+        for t in b.column(0):
+            words = ["", *TOKEN.findall((t.as_py() or "").lower()), ""]
+            for i in range(1, len(words) - 1):
+                context = crc32(f"{words[i - 1]} {words[i + 1]}".encode())
+                out.update([(x, context) for x in _terms(words[i])])
+                if len(out) > HELD:
+                    yield batch(out)
+                    out = set()
+    yield batch(out)
+
+
+def _occurrences(terms: frozenset[str]):
+    """(term, n): how often a task's texts hold each of the terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
         for b in batches:
-            out = set()
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = ["", *TOKEN.findall((t.as_py() or "").lower()), ""]
-                for i in range(1, len(words) - 1):
-                    for x in _terms(words[i]):
-                        if terms is None or x in terms:
-                            out.add((x, f"{words[i - 1]} {words[i + 1]}", y))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["term", "context", "toxic"])
+            for t in b.column(0):
+                for w, n in Counter(TOKEN.findall((t.as_py() or "").lower())).items():
+                    for x in _terms(w):
+                        if x in terms:
+                            counts[x] += n
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return run
 
@@ -205,12 +229,10 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Lexicon({}, {})
-    toxic = train.where("toxic = 1").mapInArrow(_contexts(None), schema)
-    top = toxic.groupBy("term").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    if not top:
-        return Lexicon({}, {})
-    clean = train.where("toxic = 0").mapInArrow(_contexts(frozenset(r["term"] for r in top)), schema)
-    clean_n = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.count_distinct("context").alias("n")).collect()}
+    toxic = train.where("toxic = 1").select("text").mapInArrow(_contexts, "term string, context bigint").distinct()
+    top = toxic.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
+    clean = train.where("toxic = 0").select("text").mapInArrow(_occurrences(frozenset(r["term"] for r in top)), "term string, n bigint")
+    clean_n = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.sum("n").alias("n")).collect()} if top else {}
     share = size[1] / (size[1] + size[0])
     clean_of = lambda t: clean_n.get(t, 0)
     known = {r["term"]: r["n"] for r in top}
