@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SAMPLE = 4096
-ROWS_EACH = 1024
+ROWS_EACH = 4096
 MOST_PARTITIONS = 64
 RECALL = 0.96
 NEAREST = 10
