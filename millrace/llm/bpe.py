@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 from .vectext import text_buffers
 
 #: Distinct matches that a worker's cache holds before it starts anew.
@@ -221,6 +221,7 @@ def groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[int]:
 
 def ship(spark: SparkSession, path: str) -> str:
     """Makes a rank file known to the executors; its size is that of a vocabulary, whatever the corpus."""
+    bounded_batches(spark)
     spark.sparkContext.addFile(path)
     return path.rpartition("/")[2]
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 #: The base rules.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -169,6 +169,7 @@ MASK = "[SECRET]"
 def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """docs with every span of `text`, overlapping ones as one, replaced by MASK; `size` is set to the new length where
     the text changed. Other rows and columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     ratio = Ratio(*labelled_samples())
     names, schema = docs.columns, docs.schema
     has = size in names
