@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
+    "op9_ann": ann.OP9_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }

@@ -222,6 +222,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP6_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w)),
+low as (select k, min(doc_id) as m from win group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as j from win join low using (k) where m < doc_id),
+word as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as j from w),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.j) as t, count(*) as n
+         from word left join gone on gone.doc_id = word.doc_id and gone.j = word.j where gone.j is null group by word.doc_id)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on w.doc_id = kept.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
     """The definition itself, for tests with distinct ids."""
     first: dict[tuple[bytes, ...], int] = {}
