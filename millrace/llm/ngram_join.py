@@ -47,7 +47,9 @@ from .vectext import Words, inside, ints, mix, windows, words
 
 U = np.uint64
 SLOTS = 1 << 20
-GROUPS = 256
+GROUPS = 128
+#: Counts are bytes; one at its ceiling bounds nothing.
+CEILING = 255
 BLOCK = 256
 BITS = 1 << 23
 LEAF, FAN = 16, 8
@@ -136,7 +138,7 @@ def _profiles(k: int, num: int, den: int, levels):
                 keys = h[order][head]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[head], minlength=w.rows))])
                 score = np.bincount(doc, rank, w.rows).astype(np.int64)
-                vec = np.minimum(np.bincount(doc * GROUPS + (h & U(GROUPS - 1)).astype(np.int64), minlength=w.rows * GROUPS), 65535).astype("<u2").reshape(w.rows, GROUPS)
+                vec = np.minimum(np.bincount(doc * GROUPS + (h & U(GROUPS - 1)).astype(np.int64), minlength=w.rows * GROUPS), CEILING).astype(np.uint8).reshape(w.rows, GROUPS)
                 yield pa.record_batch([
                     b.column(0).slice(w.row, w.rows), pa.array(node.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(score),
                     pa.array([v.tobytes() for v in vec], pa.binary()),
@@ -149,7 +151,7 @@ def bound_ok(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, num:
     """Whether two sets can be linked: by their sizes, and by the sum of minima of their group counts. A count that is
     at its ceiling bounds nothing."""
     lap = np.minimum(a, b).sum(-1, dtype=np.int64)
-    lap = np.where((np.maximum(a, b) == 65535).any(-1), np.minimum(na, nb), lap)
+    lap = np.where((np.maximum(a, b) == CEILING).any(-1), np.minimum(na, nb), lap)
     return (lap * (num + den) >= num * (na + nb)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
 
 
@@ -181,7 +183,7 @@ class CountTree:
         for k in range(len(self.levels) - 1, -1, -1):
             top, lo, hi = (x[at] for x in self.levels[k])
             lap = np.minimum(top, point).sum(1, dtype=np.int64)
-            lap = np.where(((top == 65535) | (point == 65535)).any(1), size, lap)
+            lap = np.where(((top == CEILING) | (point == CEILING)).any(1), size, lap)
             # the smallest size that a partner in this node can have asks for the least overlap
             least = np.maximum(lo, -(-size * self.num // self.den))
             at = at[(lap * (self.num + self.den) >= self.num * (size + least)) & (hi * self.den >= size * self.num) & (lo * self.num <= size * self.den)]
@@ -194,7 +196,7 @@ class CountTree:
 
 def _matrix(col: pa.Array) -> np.ndarray:
     """Count vectors of a binary column."""
-    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
 def _bounded(num: int, den: int):
@@ -370,6 +372,20 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+OP8_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 3 then [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]
+                                          when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+laps as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as (select a, b from laps join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+reach(doc_id, c) as (select doc_id, doc_id from w union select link.b, reach.c from reach join link on link.a = reach.doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, min(c) as component_id
+from w left join n on n.doc_id = w.doc_id join reach on reach.doc_id = w.doc_id group by w.doc_id, n.n
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], k: int, num: int, den: int) -> dict[int, tuple[int, int]]:
     """The definition itself, for tests with distinct ids: id -> (size, component)."""
     sets = {}
