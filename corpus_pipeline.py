@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, ngram_join, secrets, toxicity
-from millrace.llm.common import crc_mod5, stored, table
+from millrace.llm.common import crc_mod5, stored, table, without
 
 #: Near duplicates: word n-grams and the similarity, in hundredths.
 SHINGLE, SIMILARITY = 5, 80
@@ -28,8 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group that links connect, the document with the smallest doc_id stays; documents without words, and those
     without an id, are in no group."""
     groups = ngram_join.join(docs, SHINGLE, SIMILARITY, 100)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, groups.where("component_id <> doc_id"), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

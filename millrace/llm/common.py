@@ -50,6 +50,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most, 8 bytes each and about four times that as a hash table.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key isn't among ids, unchanged; rows without a key stay. A list of ids that was counted and
+    is short is broadcast, so that texts stay where they are; a longer one meets them in a shuffle."""
+    ids = stored(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, key, "left_anti").select(docs.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, without
 from .vectext import Words, inside, ints, joined, mix, windows, words
 
 U = np.uint64
@@ -181,8 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without contaminated documents; columns and other rows, also those without an id, stay as they are."""
-    bad = contaminated(docs, benchmark, key, text).select(key).distinct()
-    return docs.join(bad, key, "left_anti").select(docs.columns)
+    return without(docs, contaminated(docs, benchmark, key, text), key)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
