@@ -318,7 +318,9 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
     p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, keys array<bigint>"), "profiles")
     rows = p.where("node is not null").select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
+    # execution can split where a key is hot
+    shared = stored(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared")
     members = stored(rows.join(shared, "key", "left_semi").distinct(), "members")
     # near copies share many keys: of the keys with the very same members one is enough
     alike = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"), F.count("*").alias("c"))
@@ -363,8 +365,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     p, links = links_of(d, k, num, den)
     comp = components(links)
-    p = p.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    low = p.where("c is not null").groupBy("c").agg(F.min("id").alias("low"))
+    p = stored(p.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")), "placed")
+    low = stored(p.where("c is not null").groupBy("c").agg(F.min("id").alias("low")), "low")
     return p.join(low, "c", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
 
 

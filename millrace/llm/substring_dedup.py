@@ -176,8 +176,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(h, low): hashes that two ids at least have, with the smallest."""
-    return rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low")
+    """(h, low): hashes that two ids at least have, with the smallest. Stored, so that both sides of a join with it are
+    plain exchanges, of which adaptive execution splits the one with a passage that very many documents share."""
+    return stored(rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low"), "repeated")
 
 
 def lengths(seed: int, window: int) -> list[int]:
