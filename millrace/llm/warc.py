@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,12 +138,19 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
 
+def _body() -> Column:
+    return F.coalesce("html", F.lit(""))
+
+
+def _sha() -> Column:
+    return F.sha1(_body().cast("binary"))
+
+
 def duplicates(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload of at least `least` bytes a larger page_id has too."""
-    body = F.coalesce("html", F.lit(""))
-    d = pages.select("page_id", F.octet_length(body).alias("n"), F.sha1(body.cast("binary")).alias("sha")).where(F.col("n") >= least)
+    """(page_id, sha, refers_to) of the pages whose payload of at least `least` bytes a larger page_id has too."""
+    d = pages.select("page_id", F.octet_length(_body()).alias("n"), _sha().alias("sha")).where(F.col("n") >= least)
     last = d.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("lowest")).where("lowest < refers_to")
-    return d.join(last, ["sha", "n"]).where("page_id < refers_to").select("page_id", "refers_to")
+    return d.join(last, ["sha", "n"]).where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -151,7 +158,7 @@ def write(pages: DataFrame, path: str) -> None:
     copies = duplicates(pages)
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    records = pages.select("page_id", "url", "html").join(copies.distinct(), "page_id", "left").mapInArrow(_write, "record binary")
+    records = pages.select("page_id", "url", "html", _sha().alias("sha")).join(copies, ["page_id", "sha"], "left").mapInArrow(_write, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
