@@ -1,16 +1,16 @@
 """Aggregators: zero, merge of a value, merge of two combiners; there is no finishing step but an optional one.
 
 Declarative ones are a Column over the group, with partial aggregation before the shuffle. General ones give zero and
-merges as Column functions of a combiner; `finish` is optional. With a merge of combiners they are computed in two
-steps: each input partition folds its own values into one combiner a key (map-side combine), then combiners are merged,
-so what is shuffled and gathered for a key is one combiner a partition, not its values. The zero must be an identity of
-the merge, since it is folded in on both sides.
+merges as Column functions of a combiner; `finish` is optional. They are computed in three steps: a key's values in
+65,536 rows of one input partition at most are folded into a combiner, these are merged by partition, then by key. So no
+list that is gathered is longer than 2^17 or the number of partitions, however many rows a key has. The zero must be an
+identity of the merge, since it is folded in at each step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,19 +35,14 @@ class General:
     merge_value: Callable[[Column, Column], Column]  # (combiner, value) -> combiner
     merge_combiners: Callable[[Column, Column], Column]
     finish: Callable[[Column], Column] | None = None
-    #: values of one key that are folded at a time
-    slices: int = field(default=64)
 
     def apply(self, df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-        part = "__slice"
-        # a salt that deals one key's values to several folds: a hot key is never gathered as one list of its values
-        folded = (
-            df.select(*keys, value, (F.monotonically_increasing_id() % self.slices).alias(part))
-            .groupBy(*keys, part)
-            .agg(F.reduce(F.collect_list(value), self.zero, self.merge_value).alias("__c"))
-        )
+        # an id's upper bits are its partition, the lower 33 its row
+        rows = df.select(*keys, F.col(value).alias("__v"), F.shiftright(F.monotonically_increasing_id(), 16).alias("__at"))
+        folded = rows.groupBy(*keys, "__at").agg(F.reduce(F.collect_list("__v"), self.zero, self.merge_value).alias("__c"))
         merged = F.reduce(F.collect_list("__c"), self.zero, self.merge_combiners)
-        return folded.groupBy(*keys).agg((self.finish(merged) if self.finish else merged).alias(out))
+        by_partition = folded.groupBy(*keys, F.shiftright("__at", 17).alias("__at")).agg(merged.alias("__c"))
+        return by_partition.groupBy(*keys).agg((self.finish(merged) if self.finish else merged).alias(out))
 
 
 SUM = Declarative(F.sum, keep_type=True)
