@@ -18,8 +18,8 @@ from ..functions import arrow, as_schema, python, run_arrow, run_python
 from .aggregators import COLLECT, SUM, Declarative, General
 from .partitioners import Hash, Partitioner, Range
 
-#: Rows that sort() reads a partition at most to place its dividers.
-SORT_SAMPLE = 1000
+#: Rows that sort() takes to place its dividers: from a partition at most, and about so many in all.
+SORT_SAMPLE, SORT_SAMPLE_ALL = 1000, 200_000
 
 
 def _named(c: Column, name: str | None) -> Column:
@@ -213,7 +213,8 @@ class Dataset:
             return Dataset(self.df.orderBy(*keys))
         if partitions < 1:
             raise ValueError("sort needs one partition at least")
-        pick = Dataset(self.df.select(keys[0]).where(F.col(keys[0]).isNotNull())).sample(SORT_SAMPLE).df.agg(F.sort_array(F.collect_list(keys[0])).alias("s")) if partitions > 1 else None
+        each = max(1, min(SORT_SAMPLE, SORT_SAMPLE_ALL // max(1, self.df.rdd.getNumPartitions()))) if partitions > 1 else 1
+        pick = Dataset(self.df.select(keys[0]).where(F.col(keys[0]).isNotNull())).sample(each).df.agg(F.sort_array(F.collect_list(keys[0])).alias("s")) if partitions > 1 else None
         got = pick.select(F.transform(F.sequence(F.lit(1), F.lit(partitions - 1)), lambda k: F.try_element_at("s", (F.floor(k * F.size("s") / partitions) + 1).cast("int"))).alias("d")).first()["d"] if pick is not None else []
         dividers = tuple(d for d in got if d is not None)
         r = Range(dividers + (dividers[-1:] or (None,)) * (partitions - 1 - len(dividers)) if dividers else ())
