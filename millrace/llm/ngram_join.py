@@ -9,7 +9,8 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
    a count sketch of SLOTS counters over all documents: of fixed size, and only an order, so its errors cost time, never
    a link. Keys that one node alone has are dropped after a partial aggregation.
 2. Count vectors. Each set's members are hashed into GROUPS groups; the group counts are a point. The sum of coordinate
-   minima of two points is no less than their overlap.
+   minima of two points is no less than their overlap. Pairs are held against counts in about as many groups as a set
+   has members before the sets themselves are fetched.
 3. Stars. In each shard the node of most common n-grams leads; (leader, member) pairs whose bound suffices are verified
    and give components. In a large group of near copies nearly all links that matter are these, and there are no more
    of them than members.
@@ -123,7 +124,7 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(k: int, num: int, den: int, levels):
-    """Rows (id, node, n, score, vec, keys) of documents; empty ones have a null node."""
+    """Rows (id, node, n, score, vec, fine, keys) of documents; empty ones have a null node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -132,17 +133,19 @@ def _profiles(k: int, num: int, den: int, levels):
                 doc, h = sets_of(w, k)
                 first, n, node = _nodes(doc, h, w.rows)
                 rank = level[(h >> U(44)).astype(np.int64)]
-                order = np.lexsort((h, rank, doc))
-                keep = n - (num * n + den - 1) // den + 1
-                head = np.arange(len(h)) - first[:-1][doc] < keep[doc]
-                keys = h[order][head]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[head], minlength=w.rows))])
+                keep = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
+                cut = first.tolist()
+                heads = [h[a + np.argsort(rank[a:e], kind="stable")[:m]] for a, e, m in zip(cut, cut[1:], keep.tolist(), strict=False)]
+                keys = np.concatenate(heads) if heads else h
+                ends = np.concatenate([[0], np.cumsum(keep)])
                 score = np.bincount(doc, rank, w.rows).astype(np.int64)
-                vec = np.minimum(np.bincount(doc * GROUPS + (h & U(GROUPS - 1)).astype(np.int64), minlength=w.rows * GROUPS), CEILING).astype(np.uint8).reshape(w.rows, GROUPS)
+                every = [counts(h[a:e]) for a, e in zip(cut, cut[1:], strict=False)]
+                vec = [folded(c, groups_for(int(m))).tobytes() for c, m in zip(every, n, strict=True)]
+                fine = [c.tobytes() for c in every]
                 yield pa.record_batch([
                     b.column(0).slice(w.row, w.rows), pa.array(node.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(score),
-                    pa.array([v.tobytes() for v in vec], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ints(keys))], ["id", "node", "n", "score", "vec", "keys"])
+                    pa.array(vec, pa.binary()), pa.array(fine, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ints(keys))], ["id", "node", "n", "score", "vec", "fine", "keys"])
 
     return run
 
@@ -194,18 +197,42 @@ class CountTree:
         return found[bound_ok(self.points[found], point, self.sizes[found], np.full(len(found), size), self.num, self.den)]
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    """Count vectors of a binary column."""
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, GROUPS)
+def groups_for(n: int) -> int:
+    """Groups of a set of n members in shards: a power of two of about n / 8 or more, so that the counts of unrelated
+    sets differ by more than linked ones may, however long they are."""
+    return max(GROUPS, 1 << max(0, -(-n // 8) - 1).bit_length())
+
+
+def folded(a: np.ndarray, groups: int) -> np.ndarray:
+    """Counts in fewer groups; what reaches the ceiling stays there."""
+    return a if len(a) <= groups else np.minimum(a.reshape(-1, groups).sum(0, dtype=np.int64), CEILING).astype(np.uint8)
+
+
+def counts(h: np.ndarray) -> np.ndarray:
+    """Fine counts of a set: about as many groups as members, a power of two."""
+    groups = max(GROUPS, 1 << max(0, len(h).bit_length() - 1))
+    return np.minimum(np.bincount((h & U(groups - 1)).astype(np.int64), minlength=groups), CEILING).astype(np.uint8)
+
+
+def fine_ok(a: np.ndarray, b: np.ndarray, na: int, nb: int, num: int, den: int) -> bool:
+    """bound_ok for fine counts, the longer of which is folded to the length of the shorter."""
+    if min(na, nb) * den < max(na, nb) * num:
+        return False
+    if a.max() == CEILING or b.max() == CEILING:
+        return True
+    n = min(len(a), len(b))
+    a, b = (x.reshape(-1, n).sum(0, dtype=np.int64) for x in (a, b))
+    return int(np.minimum(a, b).sum()) * (num + den) >= num * (na + nb)
 
 
 def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                s = b.slice(lo, 4096)
-                ok = bound_ok(_matrix(s.column("va")), _matrix(s.column("vb")), s.column("na").to_numpy(), s.column("nb").to_numpy(), num, den)
-                yield s.select(["a", "b"]).filter(pa.array(ok))
+            ok = [
+                fine_ok(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8), na, nb, num, den)
+                for x, y, na, nb in zip(b.column("va"), b.column("vb"), b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)
+            ]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -215,20 +242,30 @@ def _shards(num: int, den: int):
 
     def join(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         node, comp, n, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "side", "same"))
-        points = _matrix(g.column("vec"))
-        if len(node) <= LEAF:
-            x, y = np.triu_indices(len(node), 1)
-            ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y]))
-            x, y = x[ok], y[ok]
-            ok = bound_ok(points[x], points[y], n[x], n[y], num, den)
-            return np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]
-        tree = CountTree(points, n, num, den)
-        out_a, out_b = [], []
-        for i in range(len(node)):
-            y = tree.near(points[i], int(n[i]))
-            y = y[(y > i) & (comp[y] != comp[i]) & (same[0] | (side[y] != side[i]))]
-            out_a.append(np.minimum(node[y], node[i]))
-            out_b.append(np.maximum(node[y], node[i]))
+        vec = [np.frombuffer(x.as_py(), np.uint8) for x in g.column("vec")]
+        size = np.array([len(v) for v in vec])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for groups in np.unique(size):  # each pair at the length of its shorter counts
+            at = np.flatnonzero(size >= groups)
+            points = np.stack([folded(vec[i], int(groups)) for i in at])
+            sizes, own = n[at], size[at] == groups
+            if len(at) <= LEAF:
+                x, y = np.triu_indices(len(at), 1)
+                x, y = x[k := own[x] | own[y]], y[k]
+                ok = bound_ok(points[x], points[y], sizes[x], sizes[y], num, den)
+                pairs = [(x[ok], y[ok])]
+            else:
+                tree = CountTree(points, sizes, num, den)
+                pairs = []
+                for i in np.flatnonzero(own):
+                    y = tree.near(points[i], int(sizes[i]))
+                    y = y[(y > i) | ~own[y]]
+                    pairs.append((np.full(len(y), i), y))
+            for x, y in pairs:
+                x, y = at[x], at[y]
+                ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y]))
+                out_a.append(np.minimum(node[x], node[y])[ok])
+                out_b.append(np.maximum(node[x], node[y])[ok])
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +353,7 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         raise ValueError("similarity is num / den, above 0 and up to 1")
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
-    p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, keys array<bigint>"), "profiles")
+    p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
     rows = p.where("node is not null").select("node", F.explode("keys").alias("key"))
     # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
     # execution can split where a key is hot
@@ -327,11 +364,12 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     alike = alike.groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c")
     members = stored(members.join(alike, "key"), "members")
     found = members.select("node").distinct()
-    node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec")), "nodes")
-    point = lambda c: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"))
+    node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "nodes")
+    point = lambda c, v: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
+    bounded = lambda pairs, v: pairs.join(point("a", v), "a").join(point("b", v), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
+        pairs = stored(bounded(stored(pairs, "bounded"), "fine"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         codes = stored(node.join(ends, "node", "left_semi").select("node", F.coalesce("id", F.lit(-(2**63))).alias("id")).mapInArrow(_codes, "node bigint, code bigint"), "codes")
         bitmap = spark.sparkContext.broadcast(_bitmap(codes))
@@ -343,8 +381,7 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
     leader = members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
     stars = members.select("key", F.col("node").alias("b")).join(leader, "key").where("a <> b").select("a", "b").distinct()
-    stars = stars.join(point("a"), "a").join(point("b"), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
-    links = verified(stars)
+    links = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
     m = members.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))

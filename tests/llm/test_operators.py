@@ -313,6 +313,17 @@ def test_count_tree_finds_all_that_the_bound_admits():
         assert sorted(tree.near(points[i], int(sizes[i])).tolist()) == want.tolist()
 
 
+def test_fine_counts_never_refuse_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(n * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.4))).astype(np.uint64)])
+        lap = len(np.intersect1d(a, b))
+        linked = 100 * lap >= 80 * (len(a) + len(b) - lap)
+        assert not linked or ngram_join.fine_ok(ngram_join.counts(a), ngram_join.counts(b), len(a), len(b), 80, 100)
+
+
 # 9
 
 
