@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, tidy
 from .vectext import text_buffers
 
 #: Distinct matches that a worker's cache holds before it starts anew.
@@ -230,6 +230,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row; with ids also the ids as token_ids array<int>."""
     name = ship(docs.sparkSession, vocabulary)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, split = ranks(name), splitter(pattern)
         for b in batches:
@@ -259,6 +260,7 @@ def decode_ids(rows: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
     """(key, data binary): the bytes of each list of ids; null lists give empty bytes."""
     name = ship(rows.sparkSession, vocabulary)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(name)
         for b in batches:

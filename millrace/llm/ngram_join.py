@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .components import components
 from .vectext import Words, ints, mix, windows, words
 
@@ -89,6 +89,7 @@ def _nodes(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.nd
 
 
 def _sketch(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
         for b in batches:
@@ -125,6 +126,7 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
 def _profiles(k: int, num: int, den: int, levels):
     """Rows (id, node, n, score, vec, fine, keys) of documents; empty ones have a null node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for b in batches:
@@ -225,6 +227,7 @@ def fine_ok(a: np.ndarray, b: np.ndarray, na: int, nb: int, num: int, den: int)
 
 
 def _bounded(num: int, den: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [
@@ -267,6 +270,7 @@ def _shards(num: int, den: int):
                 out_b.append(np.maximum(node[x], node[y])[ok])
         return np.concatenate(out_a), np.concatenate(out_b)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int]] = set()
@@ -289,7 +293,7 @@ def _shards(num: int, den: int):
         for g in groups():
             a, b = join(g)
             new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.update(new)
             if new:
@@ -313,6 +317,7 @@ def _code(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _wanted_sets(k: int, bitmap):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for b in batches:
@@ -334,6 +339,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(num: int, den: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []

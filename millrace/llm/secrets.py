@@ -27,7 +27,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, tidy
 
 #: The base rules.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -147,6 +147,7 @@ def scan(docs: DataFrame, samples: tuple[Sequence[str], Sequence[str]] | None =
     """(key, n_assign, n_access, n_hex, n_markov, base, spans) of each row; base and spans are lists of kind:start:end."""
     ratio = Ratio(*(samples or labelled_samples()))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -174,6 +175,7 @@ def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
     names, schema = docs.columns, docs.schema
     has = size in names
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = names.index(text)

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod5, table
+from .common import crc_mod5, table, tidy
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 MOST_TERMS = 2_000
 CANDIDATES = 20_000
 LEAST, RATIO = 3, 6.0
@@ -49,7 +49,7 @@ STEMS = (4, 5, 6, 7, 8, 9)
 FUZZY_FROM, FUZZY, QUOTED = 5, 0.7, 0.4
 SURE, FAINT = 0.75, 0.15
 WINDOW = 25
-MEMO = 200_000
+MEMO = 100_000
 TOKEN = re.compile(r"[^\W_]+")
 #: Words that report what others say, in the languages of the corpus.
 CUES = frozenset("said says wrote quoted quote called reported sagte schrieb zitat genannt dit écrit cité appelé dijo escribió cita llamó".split())
@@ -177,9 +177,10 @@ def _terms(word: str) -> list[str]:
 
 
 #: Pairs that a task holds before it hands them on.
-HELD = 200_000
+HELD = 50_000
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, context): the words before and after as a hash, almost without repeats."""
 
@@ -203,6 +204,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _occurrences(terms: frozenset[str]):
     """(term, n): how often a task's texts hold each of the terms."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for b in batches:
@@ -260,6 +262,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def _featured(lexicon: Lexicon):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = np.array([features(t.as_py(), lexicon) for t in b.column(0)]).reshape(-1, FEATURES)
@@ -302,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())], [key, "score"])
@@ -313,6 +317,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", most: float = 0.
     """The rows of docs that score below `most`, unchanged."""
     names, schema = docs.columns, docs.schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) < most for t in b.column(names.index(text))], pa.bool_()))
