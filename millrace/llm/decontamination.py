@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
 Tokens are runs of letters and digits (A-Z folded, all bytes beyond ASCII are letters), so case and punctuation don't
-matter. A seed is a window of SPAN tokens seen through a mask that ignores a third of its positions; the three masks
-together ignore each position once, so two windows that differ in one token still agree through one mask. Hashes of
-benchmark windows are joined with hashes of training windows, and each hit fixes an alignment of a document with an item,
-which is verified: some WINDOW consecutive aligned tokens (all of a shorter item) must agree in at least NUM / DEN of
-them. Items of MIN_TOKENS to SPAN - 1 tokens are looked up whole; shorter ones are no evidence and match nothing.
+matter. A seed is a window of tokens seen through a mask that ignores some positions. Windows of 13 tokens are cut into
+four blocks, and each of six masks keeps two of them: whichever two tokens differ, one mask at least sees none of them,
+so every window of 13 tokens in a document that agrees with one of an item in 11 is found. Items of 9 to 12 tokens use
+windows of 9 and three masks of two blocks in three (one token may differ); items of MIN_TOKENS to 8 tokens are looked up
+whole; shorter ones are no evidence and match nothing. Hashes of benchmark windows are joined with hashes of training
+windows; each hit fixes an alignment of a document with an item, which is verified: some WINDOW consecutive aligned
+tokens (all of a shorter item) must agree in at least NUM / DEN of them.
 
 The scan of the corpus keeps what may hit: a bitmap of fixed size over the benchmark's hashes is broadcast, and if these
 are no more than EXACT_ROWS also the hashes themselves; the join that follows is exact in any case. Hits of a document
@@ -28,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, without
+from .common import stored, table, tidy, without
 from .vectext import Words, inside, ints, joined, mix, windows, words
 
 U = np.uint64
-#: 1 is a position that counts.
-MASKS = ("111111000", "000111111", "111000111")
-SPAN = 9
+#: Masks by the length of their windows; 1 is a position that counts.
+MASKS = {
+    13: ("1111110000000", "1110001110000", "1110000001111", "0001111110000", "0001110001111", "0000001111111"),
+    9: ("111111000", "000111111", "111000111"),
+}
+SPAN, SHORT = 13, 9
 WINDOW = 13
 NUM, DEN = 4, 5
 MIN_TOKENS = 5
@@ -54,14 +59,24 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return x
 
 
-def _window_hashes(w: Words, short: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(positions, hashes, length) by mask and by length of short items."""
-    at = np.flatnonzero(inside(w.doc, SPAN))
-    for salt, mask in enumerate(MASKS):
-        yield at, seeds(w.hash, mask, 0x100 + salt)[at] if len(at) else np.zeros(0, U), SPAN
-    for m in short:
-        at = np.flatnonzero(inside(w.doc, m))
-        yield at, mix(windows(w.hash, m)[at] + U(m)) if len(at) else np.zeros(0, U), m
+def span_of(m: int) -> int:
+    """The length of windows that an item of m tokens is looked up by."""
+    return SPAN if m >= SPAN else SHORT if m >= SHORT else m
+
+
+def span_hashes(h: np.ndarray, span: int) -> list[np.ndarray]:
+    """Hashes of all windows of a length, by mask; whole windows for the lengths of short items."""
+    if span in MASKS:
+        return [seeds(h, mask, 0x100 * span + i) for i, mask in enumerate(MASKS[span])]
+    return [mix(windows(h, span) + U(span))]
+
+
+def _window_hashes(w: Words, spans: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(positions, hashes, length) by length and mask."""
+    for span in spans:
+        at = np.flatnonzero(inside(w.doc, span))
+        for x in span_hashes(w.hash, span) if len(at) else ():
+            yield at, x[at], span
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,21 +92,19 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.frombuffer(tokens, U)
             if len(h) < MIN_TOKENS:
                 continue
-            if len(h) < SPAN:
-                found = [mix(windows(h, len(h)) + U(len(h)))]
-            else:
-                found = [seeds(h, mask, 0x100 + salt) for salt, mask in enumerate(MASKS)]
+            found = span_hashes(h, span_of(len(h)))
             yield pa.record_batch([ints(np.concatenate(found)), pa.array([item] * sum(map(len, found)), pa.int64()), pa.array(np.concatenate([np.arange(len(x)) for x in found]), pa.int64())], ["h", "item", "pos"])
 
 
-def _scan(bits, exact, short: list[int]):
+def _scan(bits, exact, spans: list[int]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, known = bits.value, exact.value
         mask = U(BITS - 1)
         for b in batches:
             for w in words(b.column(1), True, "alnum"):
                 pos, hit, size = [], [], []
-                for at, h, m in _window_hashes(w, short):
+                for at, h, m in _window_hashes(w, spans):
                     bit = h & mask
                     ok = np.flatnonzero((bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1))
                     if known is not None and len(ok):
@@ -99,9 +112,9 @@ def _scan(bits, exact, short: list[int]):
                     pos.append(at[ok])
                     hit.append(h[ok])
                     size.append(np.full(len(ok), m))
-                pos, hit, size = np.concatenate(pos), np.concatenate(hit), np.concatenate(size)
-                if not len(pos):
+                if not sum(map(len, pos)):
                     continue
+                pos, hit, size = np.concatenate(pos), np.concatenate(hit), np.concatenate(size)
                 order = np.argsort(pos, kind="stable")
                 pos, hit, size = pos[order], hit[order], size[order]
                 doc = w.doc[pos]
@@ -162,13 +175,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     once = items.where(F.col("m") >= MIN_TOKENS).groupBy("tokens").agg(F.min("item_id").alias("item"), F.first("m").alias("m"))
     once = stored(once, "item-sequences")
     tests = stored(once.mapInArrow(_item_seeds, "h bigint, item bigint, pos bigint"), "item-seeds")
-    short = [r["m"] for r in once.where(F.col("m") < SPAN).select("m").distinct().collect()]  # lengths below SPAN
+    # lengths of items, a long one counting as SPAN: at most SPAN rows
+    spans = sorted({span_of(r["m"]) for r in once.select(F.least("m", F.lit(SPAN)).alias("m")).distinct().collect()})
     bits = spark.sparkContext.broadcast(bitmap_of(tests))
     few = tests.count() <= EXACT_ROWS
     exact = spark.sparkContext.broadcast(np.unique(tests.select("h").toArrow().column("h").to_numpy().view(U)) if few else None)
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    parts = stored(d.mapInArrow(_scan(bits, exact, sorted(short)), f"id {kind}, part string, start bigint, tokens binary, hits array<struct<h:bigint,pos:bigint>>"), "parts")
+    parts = stored(d.mapInArrow(_scan(bits, exact, spans), f"id {kind}, part string, start bigint, tokens binary, hits array<struct<h:bigint,pos:bigint>>"), "parts")
     hits = parts.select("part", F.explode("hits").alias("x")).select("part", F.col("x.h").alias("h"), F.col("x.pos").alias("at"))
     aligned = hits.join(tests, "h").select("part", "item", (F.col("at") - F.col("pos")).alias("shift")).distinct()
     pairs = aligned.join(parts.select("part", "id", "start", "tokens"), "part").join(once.select("item", F.col("tokens").alias("item_tokens")), "item")
@@ -205,10 +219,12 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                 continue
             for shift in range(-m, len(d)):
                 same = [0 <= k + shift < len(d) and d[k + shift] == x[k] for k in range(m)]
-                if m < SPAN:
-                    seeded = all(same)
+                span = span_of(m)
+                inner = [a for a in range(m - span + 1) if 0 <= a + shift and a + shift + span <= len(d)]
+                if span == SPAN:  # the masks miss none of these
+                    seeded = any(sum(same[a : a + span]) >= span - 2 for a in inner)
                 else:
-                    seeded = any(all(same[a + p] for p, c in enumerate(mask) if c == "1") and 0 <= a + shift and a + shift + SPAN <= len(d) for a in range(m - SPAN + 1) for mask in MASKS)
+                    seeded = any(all(same[a + p] for p, c in enumerate(mask) if c == "1") for a in inner for mask in MASKS.get(span, ["1" * span]))
                 if seeded and any(DEN * sum(same[a : a + size]) >= NUM * size for a in range(m - size + 1)):
                     out.add((i, j))
                     break
