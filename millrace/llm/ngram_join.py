@@ -11,10 +11,9 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 2. Count vectors. Each set's members are hashed into GROUPS groups; the group counts are a point. The sum of coordinate
    minima of two points is no less than their overlap. Pairs are held against counts in about as many groups as a set
    has members before the sets themselves are fetched.
-3. Stars. In each shard the node of most common n-grams leads; (leader, member) pairs whose bound suffices are verified
-   and give components. In a large group of near copies nearly all links that matter are these, and there are no more
-   of them than members.
-   Shards with the very same members are looked at once.
+3. Stars. In each shard the node of most common n-grams leads. Both members of a shard of two, and each other node with
+   the leader that it shares most shards with, are verified if the bound suffices, and give components. In a large group
+   of near copies nearly all links that matter are these. Shards with the very same members are looked at once.
 4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
    nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. Shards
    of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task. Surviving pairs are
@@ -385,7 +384,10 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         return stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links")
 
     leader = members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
-    stars = members.select("key", F.col("node").alias("b")).join(leader, "key").where("a <> b").select("a", "b").distinct()
+    led = members.select("key", "c", F.col("node").alias("b")).join(leader, "key").where("a <> b")
+    # of larger shards each node takes the leader that it shares most with: the others' pairs, if still open, follow below
+    most = led.where("c > 2").groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("a"))
+    stars = stored(led.where("c = 2").select("a", "b").union(most.select("a", "b")).distinct(), "stars")
     links = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
