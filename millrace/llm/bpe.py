@@ -31,7 +31,7 @@ from .common import bounded_batches, table, tidy
 from .vectext import text_buffers
 
 #: Distinct matches that a worker's cache holds before it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 #: Matches of up to so many bytes are encoded in step.
 IN_STEP = 64
 NONE = np.int64(1) << 40
@@ -45,15 +45,15 @@ class Ranks:
         self.bytes_of = {i: t for t, i in self.rank.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.pair: dict[tuple[int, int], int] = {}
+        keys, values = [], []
         for token, i in self.rank.items():
             for cut in range(1, len(token)):
                 left, right = self.rank.get(token[:cut]), self.rank.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pair[left, right] = i
-        keys = np.array([(a << 32) | b for a, b in self.pair], np.int64)
+                    keys.append(left << 32 | right)
+                    values.append(i)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array(list(self.pair.values()), np.int64)[order]
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -68,9 +68,14 @@ class Ranks:
         size = 1 << max(1, (n - 1).bit_length())
         none = int(NONE)
         tree = [(none, 0)] * (2 * size)  # (rank, position): tuples compare by rank, then leftmost
-        get = self.pair.get
-        for i in range(n - 1):
-            tree[size + i] = (get((ids[i], ids[i + 1]), none), i)
+        first = np.array(ids, np.int64)
+        for i, r in enumerate(self.pairs(first[:-1], first[1:]).tolist()):
+            tree[size + i] = (r, i)
+        join, rank_of = self.bytes_of, self.rank
+
+        def get(pair: tuple[int, int], default: int) -> int:
+            return rank_of.get(join[pair[0]] + join[pair[1]], default)
+
         for k in range(size - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a <= b else b
