@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: documents whose sets of word n-grams are similar, and their connected groups.
+"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are similar, and their connected groups.
 
 A document's set: its distinct runs of k words (A-Z folded); with fewer words, the whole sequence as one; without words
 it is empty and linked with nothing. Two documents link when den * |A and B| >= num * |A or B|, checked on whole sets of
@@ -13,19 +13,23 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
    has members before the sets themselves are fetched.
 3. Stars. In each shard the node of most common n-grams leads. Both members of a shard of two, and each other node with
    the leader that it shares most shards with, are verified if the bound suffices, and give components. In a large group
-   of near copies nearly all links that matter are these. Shards with the very same members are looked at once.
+   of near copies these connect nearly all. Shards with the very same members are looked at once.
 4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
    nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. Shards
    of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task. Surviving pairs are
    verified.
-5. Components of all links, and the smallest doc_id of each.
-
-No pair between two documents that the links so far connect is looked at, so links are complete up to connectedness:
-none between different texts that would join two components is lost. Verification fetches sets of the documents in
-pairs alone, by a scan that asks a bitmap of fixed size first and an exact join after. k members of one shard that are
-near each other and yet unlinked cost k^2 / 2 comparisons, in blocks.
-
-Defined cases: null text is empty; a null doc_id is a document of its own that never is the smallest (its component's
+5. Components of the links so far, and the smallest doc_id of each. Steps 3 and 4 look at no pair that is connected
+   already, so they give all components, but not yet all links.
+6. All links. A link never leaves its component, so every pair of a component of three or more nodes is compared on its
+   whole sets. Components are cut into tiles of at most about TILE sets and TILE_MEMBERS hashes a side; each set travels
+   once a tile, not once a pair, and a tile's overlaps are one product of matrices.
+
+Verification fetches sets of the documents in pairs alone, by a scan that asks a bitmap of fixed size first and an exact
+join after; step 6 uses the sets that were fetched. k members of one shard that are near each other and yet unlinked
+cost k^2 / 2 comparisons, in blocks, and so do k nodes of a component. k near copies have up to k^2 / 2 links, and all
+of them are rows of the result.
+
+Defined cases: null text is empty and has no link; a null doc_id is a document of its own that never is the smallest (its component's
 id is null if it holds no other); rows that share an id stay rows; an empty table gives an empty result; very long texts
 have long sets; further columns are ignored. doc_id is an integer.
 """
@@ -53,6 +57,8 @@ CEILING = 255
 BLOCK = 256
 BITS = 1 << 23
 LEAF, FAN = 16, 8
+#: Sets and hashes of one side of a tile, and columns of a matrix that is multiplied at once.
+TILE, TILE_MEMBERS, COLUMNS = 128, 1 << 20, 4096
 
 
 def sets_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +244,24 @@ def _bounded(num: int, den: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows that are sorted by keys, each as one batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
+        for a, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            part = b.slice(a, e - a)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _shards(num: int, den: int):
     """Pairs (a, b) of different components from rows sorted by (key, i, j), each group of which is one or two blocks."""
 
@@ -271,25 +295,8 @@ def _shards(num: int, den: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int]] = set()
-
-        def groups() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
-                cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
-                for a, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                    part = b.slice(a, e - a)
-                    if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
-                        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                        held.clear()
-                    held.append(part)
-            if held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-        for g in groups():
+        for g in _groups(batches, ("key", "i", "j")):
             a, b = join(g)
             new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
             if len(seen) > 100_000:
@@ -351,8 +358,54 @@ def _linked(num: int, den: int):
     return run
 
 
-def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes as (id, node, n), links as (a, b) between nodes) of docs (id, text)."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common members of each two sets."""
+    m = len(sets)
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], np.repeat(np.arange(m), [len(s) for s in sets])[order]
+    col = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+    common = np.bincount(col) > 1
+    keep = common[col]
+    row, col = row[keep], (np.cumsum(common) - 1)[col[keep]]
+    out = np.zeros((m, m), np.int64)
+    for at in range(0, int(common.sum()), COLUMNS):
+        a, e = np.searchsorted(col, [at, at + COLUMNS])
+        x = np.zeros((m, COLUMNS), np.float32)  # sums of up to COLUMNS ones are exact
+        x[row[a:e], col[a:e] - at] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _tiles(num: int, den: int):
+    """All links (a, b) from rows sorted by (component, i, j), each group of which is one or two blocks of a component."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ("component", "i", "j")):
+            node, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "same"))
+            sets = [np.frombuffer(s.as_py(), U) for s in g.column("members")]
+            size = np.array([len(s) for s in sets])
+            x, y = np.triu_indices(len(sets), 1)
+            both = overlaps(sets)[x, y]
+            ok = (den * both >= num * (size[x] + size[y] - both)) & (same[0] | (side[x] != side[y]))
+            x, y = node[x[ok]], node[y[ok]]
+            if len(x):
+                yield pa.record_batch([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _tiled(m: DataFrame) -> DataFrame:
+    """Rows (node, ..., blocks) dealt to blocks of their group, once for each pair (i, j) of blocks that theirs is in."""
+    kept = [c for c in m.columns if c != "blocks"]
+    m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    return m.select(*kept, "side", others).select(*kept, "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), (F.col("side") == F.col("o")).alias("same"))
+
+
+def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes as (id, node, n), all links as (a, b) between nodes, components as (node, component)) of docs (id, text)."""
     if not 0 < num <= den or k < 1:
         raise ValueError("similarity is num / den, above 0 and up to 1")
     spark = docs.sparkSession
@@ -372,7 +425,8 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     point = lambda c, v: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
     bounded = lambda pairs, v: pairs.join(point("a", v), "a").join(point("b", v), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links among the pairs, and the sets that they were checked on."""
         pairs = stored(bounded(stored(pairs, "bounded"), "fine"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         codes = stored(node.join(ends, "node", "left_semi").select("node", F.coalesce("id", F.lit(-(2**63))).alias("id")).mapInArrow(_codes, "node bigint, code bigint"), "codes")
@@ -381,41 +435,59 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
         # rows that share id and text have one code
         sets = stored(codes.join(sets, "code").groupBy("node").agg(F.first("members").alias("members")), "sets")
         s = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
-        return stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links")
+        return stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links"), sets
 
     leader = members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
     led = members.select("key", "c", F.col("node").alias("b")).join(leader, "key").where("a <> b")
     # of larger shards each node takes the leader that it shares most with: the others' pairs, if still open, follow below
     most = led.where("c > 2").groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("a"))
     stars = stored(led.where("c = 2").select("a", "b").union(most.select("a", "b")).distinct(), "stars")
-    links = verified(bounded(stars, "vec"))
+    links, sets = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
     m = members.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
     open_keys = open_keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    m = m.select("key", "node", "comp", "side", others).select(
-        "key", "node", "comp", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), (F.col("side") == F.col("o")).alias("same"))
-    m = m.join(node.select("node", "n", "vec"), "node")
+    m = _tiled(m.join(open_keys, "key")).join(node.select("node", "n", "vec"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     pairs = m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
-    return p.select("id", "node", "n"), links.union(verified(pairs))
+    more, more_sets = verified(pairs)
+    links = links.union(more)
+    comp = stored(components(links), "components")
+    # every node of a link had its set fetched; of two nodes the only link is known
+    sets = sets.union(more_sets.join(sets.select("node"), "node", "left_anti"))
+    sized = comp.join(node.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("members")).where("c > 2")
+    blocks = F.ceil(F.greatest(F.col("c") / TILE, F.col("members") / TILE_MEMBERS)).cast("int")
+    sized = stored(sized.select("component", F.least(blocks, F.col("c").cast("int")).alias("blocks")), "sized")
+    inner = stored(comp.join(sized, "component"), "inner")
+    tiles = _tiled(inner).join(sets, "node")
+    whole = tiles.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_tiles(num, den), "a bigint, b bigint")
+    pairs_of_two = links.join(inner.select(F.col("node").alias("a")), "a", "left_anti")
+    return p.select("id", "node", "n"), stored(pairs_of_two.union(whole), "all-links"), comp
+
+
+def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes as (id, node, n), all links as (a, b), a < b, between nodes) of docs (id, text)."""
+    return joined(docs, k, num, den)[:2]
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of each row: the set's size and the smallest id that links reach."""
+    """(key, n_shingles, component_id, n_links) of each row: the set's size, the smallest id that links reach, and how
+    many other rows are linked with it, copies among them."""
     d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    p, links = links_of(d, k, num, den)
-    comp = components(links)
-    p = stored(p.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")), "placed")
+    p, links, comp = joined(d, k, num, den)
+    copies = stored(p.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    near = stored(ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near")), "near")
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("near", F.lit(0))
+    p = p.join(comp, "node", "left").join(copies, "node", "left").join(near, "node", "left")
+    p = stored(p.select("id", "node", "n", F.coalesce("component", "node").alias("c"), n_links.alias("n_links")), "placed")
     low = stored(p.where("c is not null").groupBy("c").agg(F.min("id").alias("low")), "low")
-    return p.join(low, "c", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
+    return p.join(low, "c", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), "n_links")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return join(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = """

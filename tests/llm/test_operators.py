@@ -294,6 +294,27 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, k, num, block):
     assert got == ngram_join.brute_force(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "tile"), [(3, 90, 128), (2, 60, 2)])
+def test_ngram_join_gives_all_links(spark, monkeypatch, k, num, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rows = near_copies()
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    linked = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= num * len(x | y)
+    want = {(i, j) for i in sets for j in sets if i != j and linked(sets[i], sets[j])}
+    df = spark.createDataFrame(rows, DOCS)
+    nodes, links = ngram_join.links_of(df.withColumnRenamed("doc_id", "id"), k, num, 100)
+    held = {}
+    for r in nodes.where("node is not null").collect():
+        held.setdefault(r.node, []).append(r.id)
+    got = [(i, j) for r in links.collect() for a, b in ((r.a, r.b), (r.b, r.a)) for i in held[a] for j in held[b]]
+    assert sorted(got) == sorted((i, j) for i, j in want if sets[i] != sets[j])
+    count = {r.doc_id: r.n_links for r in ngram_join.join(df, k, num, 100).collect()}
+    assert count == {i: sum(x == i for x, _ in want) for i in sets}
+
+
 def test_ngram_join_cases(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "x y z"), (7, "X Y z"), (8, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect())
