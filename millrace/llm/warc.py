@@ -11,9 +11,10 @@ identifier, ordered by segment number, and held against the total length; then t
 whose segments are missing, repeated, or of another length, whose framing is broken or whose payload hasn't the digest
 it names is kept with `problem` set and a null payload. Revisits take their payload's length from the record they name.
 
-Defined cases: null html is an empty payload, a null url leaves WARC-Target-URI out, a null page_id is an error, pages
-that are repeated give repeated records (the same identifier: they are told apart by position and count as a problem
-only if segmented), an empty table gives no archive and no record, further columns of pages are ignored.
+Defined cases: null html is an empty payload, a null url leaves WARC-Target-URI out, a null page_id is an error, an empty
+table gives no archive and no record, further columns of pages are ignored. Each of several rows with one page_id is a
+record with an identifier of its own (page and place of writing); a revisit names the page, and of the page's records
+that one is meant which has the revisit's digest.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,8 @@ RECORDS_PER_FILE = 2000
 BROADCAST_ROWS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 _ID = "<urn:page:{}>"
+#: The page of an identifier, with or without what tells rows with one page_id apart.
+_PAGE = r"^<urn:page:(-?\d+)(?::r\d+-\d+)?>$"
 _PART = "<urn:page:{}:{}>"
 
 
@@ -70,11 +74,12 @@ def _head(version: bytes, fields: list[tuple[str, str]]) -> bytes:
     return version + b"".join(f"\r\n{k}: {re.sub('[^ -~]', lambda m: ''.join(f'%{b:02X}' for b in m[0].encode()), v)}".encode() for k, v in fields)
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page, without the closing CR LF CR LF."""
+def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: str = "") -> Iterator[bytes]:
+    """The records of one page, without the closing CR LF CR LF. `row` tells rows with one page_id apart."""
+    name = f"{page_id}{row}"
     sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     target = [("WARC-Target-URI", url)] if url is not None else []
-    common = [("WARC-Record-ID", _ID.format(page_id)), ("WARC-Date", DATE), *target, ("WARC-Payload-Digest", f"sha1:{sha}")]
+    common = [("WARC-Record-ID", _ID.format(name)), ("WARC-Date", DATE), *target, ("WARC-Payload-Digest", f"sha1:{sha}")]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
         yield _head(b"WARC/1.1", [("WARC-Type", "revisit"), *common, ("WARC-Refers-To", _ID.format(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]) + END + block
@@ -85,7 +90,7 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
         part = block[at : at + segment_bytes]
         segment = [("WARC-Segment-Number", str(k))] if len(cuts) > 1 else []
         if k > 1:
-            kind = [("WARC-Type", "continuation"), ("WARC-Record-ID", _PART.format(page_id, k)), ("WARC-Date", DATE), *target, ("WARC-Segment-Origin-ID", _ID.format(page_id))]
+            kind = [("WARC-Type", "continuation"), ("WARC-Record-ID", _PART.format(name, k)), ("WARC-Date", DATE), *target, ("WARC-Segment-Origin-ID", _ID.format(name))]
             if k == len(cuts):
                 segment.append(("WARC-Segment-Total-Length", str(len(block))))
         else:
@@ -126,10 +131,12 @@ def unzipped(data: bytes) -> bytes:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, row = TaskContext.get().partitionId(), 0
     for b in batches:
         out, size = [], 0
-        for page_id, url, html, refers in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to")), strict=True):
-            for r in page_records(page_id, url, (html or "").encode(), refers):
+        for page_id, url, html, refers, repeated in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "repeated")), strict=True):
+            row += 1
+            for r in page_records(page_id, url, (html or "").encode(), refers, row=f":r{task}-{row}" if repeated else ""):
                 out.append(r)
                 size += len(r)
             if size > 4 << 20:
@@ -158,7 +165,10 @@ def write(pages: DataFrame, path: str) -> None:
     copies = duplicates(pages)
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    records = pages.select("page_id", "url", "html", _sha().alias("sha")).join(copies, ["page_id", "sha"], "left").mapInArrow(_write, "record binary")
+    repeated = stored(pages.groupBy("page_id").agg(F.count("*").alias("k")).where("k > 1").select("page_id", F.lit(True).alias("repeated")), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    records = pages.select("page_id", "url", "html", _sha().alias("sha")).join(copies, ["page_id", "sha"], "left").join(repeated, "page_id", "left").mapInArrow(_write, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
@@ -245,15 +255,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("bigint")
+    page = lambda c: F.regexp_extract(c, _PAGE, 1).cast("bigint")
     r = read(spark, path).select(page(F.col("record_id")).alias("page_id"), "kind", "payload_bytes", "payload_digest", "problem", F.when(F.col("refers_id").isNotNull(), page(F.col("refers_id"))).alias("refers_to"))
     r = stored(r, "records")  # archives are parsed once
-    # what revisits name: one row for each response that is named, whatever the number of its revisits
+    # what revisits name: one row for each payload that is named, whatever the number of its revisits and of its records
     again = r.where("kind = 'revisit'").drop("payload_bytes")
-    named = again.select(F.col("refers_to").alias("page_id")).distinct()
-    lengths = r.where("kind = 'response'").join(named, "page_id", "left_semi").select(F.col("page_id").alias("refers_to"), "payload_bytes")
+    named = again.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    lengths = r.where("kind = 'response'").join(named, ["page_id", "payload_digest"], "left_semi")
+    lengths = lengths.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     columns = ["page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "problem"]
-    return r.where("kind <> 'revisit'").select(columns).unionByName(again.join(lengths, "refers_to", "left").select(columns))
+    return r.where("kind <> 'revisit'").select(columns).unionByName(again.join(lengths, ["refers_to", "payload_digest"], "left").select(columns))
 
 
 #: Payloads are UTF-8 encodings of strings, so SQL has their digests.

@@ -102,6 +102,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(bytes(p).decode() == (rows[i][2] or "") for i, p in payloads.items())
 
 
+def test_warc_repeated_pages_are_a_record_each(spark, tmp_path):
+    long, other, small = "a" * 40000, "b" * 50000, "c" * 2000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", other), (2, "u", small), (2, "u", small), (3, "u", "d" * 1500), (9, "u", small), (9, "w", small), (9, "u", long), (9, "x", "e")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.OP2_SQL)
+    got = warc.op2_warc(spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_warc_broken_segments_are_reported(spark):
     records = [r for r in warc.page_records(5, "u", b"x" * 500, None, segment_bytes=200)]
     assert len(records) == 3 or len(records) == 4
