@@ -73,6 +73,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing reads any more, so that scratch space holds what is in use."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        conf = t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 #: Ids that are broadcast at most, 8 bytes each and about four times that as a hash table.
 BROADCAST_IDS = 500_000
 
@@ -102,8 +112,6 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 50 else 2000 * df.count()
 
 
-def pieces(df: DataFrame, at_least: int = 32, bytes_each: int = 8 << 20) -> int:
-    """How many shuffle partitions or shards df's data should be dealt to; it grows with the data."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(at_least, n, min(1 << 20, input_bytes(df) // bytes_each))
+def pieces(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of about `each` rows; no fewer than the session shuffles to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(1 << 20, -(-rows // each)))

@@ -7,27 +7,30 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 1. Shards. Two linked sets share a member among the first n - ceil(num n / den) + 1 of each in any one order of all
    n-grams; those members are keys. The order puts n-grams that are common in the corpus last. How common is read off
    a count sketch of SLOTS counters over all documents: of fixed size, and only an order, so its errors cost time, never
-   a link. Keys that one node alone has are dropped after a partial aggregation.
+   a link. Keys that one node alone has are dropped after a partial aggregation; of keys with the very same nodes the
+   first in the order stays.
 2. Count vectors. Each set's members are hashed into GROUPS groups; the group counts are a point. The sum of coordinate
    minima of two points is no less than their overlap. Pairs are held against counts in about as many groups as a set
    has members before the sets themselves are fetched.
 3. Stars. In each shard the node of most common n-grams leads. Both members of a shard of two, and each other node with
    the leader that it shares most shards with, are verified if the bound suffices, and give components. In a large group
-   of near copies these connect nearly all. Shards with the very same members are looked at once.
+   of near copies these connect nearly all.
 4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
-   nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. Shards
-   of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task. Surviving pairs are
-   verified.
+   nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. A pair
+   is handed on by the shard of its first common key alone, and only if what follows that key in both orders is enough
+   for a link. Shards of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task; blocks
+   of the component that most members are of aren't paired with each other, so a shard of k members of one component and
+   a few others costs about k. Surviving pairs are verified.
 5. Components of the links so far, and the smallest doc_id of each. Steps 3 and 4 look at no pair that is connected
    already, so they give all components, but not yet all links.
 6. All links. A link never leaves its component, so every pair of a component of three or more nodes is compared on its
    whole sets. Components are cut into tiles of at most about TILE sets and TILE_MEMBERS hashes a side; each set travels
-   once a tile, not once a pair, and a tile's overlaps are one product of matrices.
+   once a tile, not once a pair, and a tile's overlaps are one product of matrices. A tile hands on sums a node: how many
+   documents it is linked with. `links_of` hands on the pairs themselves, of which k near copies can have k^2 / 2.
 
 Verification fetches sets of the documents in pairs alone, by a scan that asks a bitmap of fixed size first and an exact
-join after; step 6 uses the sets that were fetched. k members of one shard that are near each other and yet unlinked
-cost k^2 / 2 comparisons, in blocks, and so do k nodes of a component. k near copies have up to k^2 / 2 links, and all
-of them are rows of the result.
+join after; step 6 uses the sets that were fetched. `groups` ends after step 5. k nodes of a component cost k^2 / 2
+products in step 6, in blocks, and so do k members of one shard that are near each other and yet in k components.
 
 Defined cases: null text is empty and has no link; a null doc_id is a document of its own that never is the smallest (its component's
 id is null if it holds no other); rows that share an id stay rows; an empty table gives an empty result; very long texts
@@ -37,15 +40,16 @@ have long sets; further columns are ignored. doc_id is an integer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, tidy
+from .common import dropped, pieces, stored, table, tidy
 from .components import components
 from .vectext import Words, ints, mix, windows, words
 
@@ -58,7 +62,9 @@ BLOCK = 256
 BITS = 1 << 23
 LEAF, FAN = 16, 8
 #: Sets and hashes of one side of a tile, and columns of a matrix that is multiplied at once.
-TILE, TILE_MEMBERS, COLUMNS = 128, 1 << 20, 4096
+TILE, TILE_MEMBERS, COLUMNS = 256, 1 << 20, 4096
+#: Keys before its own that a row of a shard names, to tell whether a pair has met already; more meet twice, no harm.
+BEFORE = 64
 
 
 def sets_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +131,7 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
     for r in parts.collect():  # 16 rows
         counts[r["part"] * (SLOTS // 16) : (r["part"] + 1) * (SLOTS // 16)] = np.frombuffer(z.decompress(bytes(r["counts"])), np.uint32)
     mean = max(1.0, counts.mean())
-    return np.floor(np.log2(np.maximum(1.0, counts / mean))).astype(np.uint8)
+    return np.floor(np.log2(np.maximum(1.0, counts / mean))).astype(np.uint8)  # below 33
 
 
 def _profiles(k: int, num: int, den: int, levels):
@@ -141,8 +147,10 @@ def _profiles(k: int, num: int, den: int, levels):
                 rank = level[(h >> U(44)).astype(np.int64)]
                 keep = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
                 cut = first.tolist()
-                heads = [h[a + np.argsort(rank[a:e], kind="stable")[:m]] for a, e, m in zip(cut, cut[1:], keep.tolist(), strict=False)]
-                keys = np.concatenate(heads) if heads else h
+                # a key's upper bits are its n-gram's level, so keys have the order of all n-grams
+                key = (rank.astype(U) << U(57)) | (h >> U(7))
+                heads = [np.sort(key[a:e])[:m] for a, e, m in zip(cut, cut[1:], keep.tolist(), strict=False)]
+                keys = np.concatenate(heads) if heads else key
                 ends = np.concatenate([[0], np.cumsum(keep)])
                 score = np.bincount(doc, rank, w.rows).astype(np.int64)
                 every = [counts(h[a:e]) for a, e in zip(cut, cut[1:], strict=False)]
@@ -266,9 +274,12 @@ def _shards(num: int, den: int):
     """Pairs (a, b) of different components from rows sorted by (key, i, j), each group of which is one or two blocks."""
 
     def join(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        node, comp, n, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "side", "same"))
+        node, comp, n, pos, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "pos", "side", "same"))
         vec = [np.frombuffer(x.as_py(), np.uint8) for x in g.column("vec")]
         size = np.array([len(v) for v in vec])
+        rest = n - pos  # members from this key on
+        met: dict[int, frozenset] = {}
+        before = lambda i: met[i] if i in met else met.setdefault(i, frozenset(g.column("before")[i].as_py()))
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for groups in np.unique(size):  # each pair at the length of its shorter counts
             at = np.flatnonzero(size >= groups)
@@ -288,22 +299,18 @@ def _shards(num: int, den: int):
                     pairs.append((np.full(len(y), i), y))
             for x, y in pairs:
                 x, y = at[x], at[y]
-                ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y]))
+                ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y])) & (np.minimum(rest[x], rest[y]) * (num + den) >= num * (n[x] + n[y]))
+                ok[ok] = [before(i).isdisjoint(before(j)) for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True)]
                 out_a.append(np.minimum(node[x], node[y])[ok])
                 out_b.append(np.maximum(node[x], node[y])[ok])
         return np.concatenate(out_a), np.concatenate(out_b)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for g in _groups(batches, ("key", "i", "j")):
             a, b = join(g)
-            new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
-            if len(seen) > 100_000:
-                seen.clear()
-            seen.update(new)
-            if new:
-                yield pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+            if len(a):
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -377,57 +384,81 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tiles(num: int, den: int):
-    """All links (a, b) from rows sorted by (component, i, j), each group of which is one or two blocks of a component."""
+def _tiles(num: int, den: int, pairs: bool):
+    """From rows sorted by (component, i, j), each group of which is one or two blocks of a component: all links (a, b), or
+    (node, near), how many documents of other nodes of the tile it is linked with."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ("component", "i", "j")):
-            node, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "same"))
+            node, side, same, copies = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "same", "copies"))
             sets = [np.frombuffer(s.as_py(), U) for s in g.column("members")]
             size = np.array([len(s) for s in sets])
-            x, y = np.triu_indices(len(sets), 1)
-            both = overlaps(sets)[x, y]
-            ok = (den * both >= num * (size[x] + size[y] - both)) & (same[0] | (side[x] != side[y]))
-            x, y = node[x[ok]], node[y[ok]]
-            if len(x):
-                yield pa.record_batch([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+            both = overlaps(sets)
+            ok = den * both >= num * (size[:, None] + size - both)
+            np.fill_diagonal(ok, False)
+            if not same[0]:
+                ok &= side[:, None] != side
+            if pairs:
+                x, y = np.nonzero(np.triu(ok))
+                yield pa.record_batch([pa.array(np.minimum(node[x], node[y]), pa.int64()), pa.array(np.maximum(node[x], node[y]), pa.int64())], ["a", "b"])
+            else:
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(ok @ copies, pa.int64())], ["node", "near"])
 
     return run
 
 
-def _tiled(m: DataFrame) -> DataFrame:
-    """Rows (node, ..., blocks) dealt to blocks of their group, once for each pair (i, j) of blocks that theirs is in."""
-    kept = [c for c in m.columns if c != "blocks"]
-    m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    return m.select(*kept, "side", others).select(*kept, "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), (F.col("side") == F.col("o")).alias("same"))
+def _dealt(m: DataFrame, least: Column, partners: Column) -> DataFrame:
+    """Rows with their block `side`, once for each pair (i, j) of blocks that theirs is in."""
+    kept = m.columns
+    others = F.explode(F.sequence(F.lit(0), partners - 1)).alias("o")
+    m = m.select(*kept, least.cast("int").alias("side"), others)
+    return m.select(*kept, "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), (F.col("side") == F.col("o")).alias("same"))
+
+
+def _blocks(c: Column) -> Column:
+    return F.ceil(c / BLOCK).cast("int")
+
+
+def _side(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1)))
+
 
+class Joined(NamedTuple):
+    nodes: DataFrame  # (id, node, n)
+    links: DataFrame  # (a, b), enough to connect each component; all links of a component of two
+    components: DataFrame  # (node, component)
+    sets: DataFrame  # (node, members) of every node in a component
+    scratch: list[DataFrame]  # stored tables that hold the above
 
-def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes as (id, node, n), all links as (a, b) between nodes, components as (node, component)) of docs (id, text)."""
+
+def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
+    """Steps 1 to 5 for docs (id, text)."""
     if not 0 < num <= den or k < 1:
         raise ValueError("similarity is num / den, above 0 and up to 1")
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
     p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
-    rows = p.where("node is not null").select("node", F.explode("keys").alias("key"))
+    rows = p.where("node is not null").select("node", F.posexplode("keys").alias("pos", "key"))
     # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
     # execution can split where a key is hot
     shared = stored(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared")
-    members = stored(rows.join(shared, "key", "left_semi").distinct(), "members")
-    # near copies share many keys: of the keys with the very same members one is enough
-    alike = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"), F.count("*").alias("c"))
-    alike = alike.groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c")
-    members = stored(members.join(alike, "key"), "members")
+    every = stored(rows.join(shared, "key", "left_semi").distinct(), "members")
+    # near copies share many keys: of the keys with the very same members the first is enough
+    alike = every.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"), F.count("*").alias("c"))
+    alike = stored(alike.groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c"), "alike")
+    members = stored(every.join(alike, "key"), "members")
     found = members.select("node").distinct()
     node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "nodes")
+    ids = stored(p.select("id", "node", "n"), "ids")
+    dropped(p, shared, every, alike)
     point = lambda c, v: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
     bounded = lambda pairs, v: pairs.join(point("a", v), "a").join(point("b", v), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links among the pairs, and the sets that they were checked on."""
-        pairs = stored(bounded(stored(pairs, "bounded"), "fine"), "pairs")
+        first = stored(pairs, "bounded")
+        pairs = stored(bounded(first, "fine"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         codes = stored(node.join(ends, "node", "left_semi").select("node", F.coalesce("id", F.lit(-(2**63))).alias("id")).mapInArrow(_codes, "node bigint, code bigint"), "codes")
         bitmap = spark.sparkContext.broadcast(_bitmap(codes))
@@ -435,9 +466,11 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         # rows that share id and text have one code
         sets = stored(codes.join(sets, "code").groupBy("node").agg(F.first("members").alias("members")), "sets")
         s = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
-        return stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links"), sets
+        links = stored(pairs.join(s("a"), "a").join(s("b"), "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), "links")
+        dropped(first, pairs, codes)
+        return links, sets
 
-    leader = members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a"))
+    leader = stored(members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a")), "leader")
     led = members.select("key", "c", F.col("node").alias("b")).join(leader, "key").where("a <> b")
     # of larger shards each node takes the leader that it shares most with: the others' pairs, if still open, follow below
     most = led.where("c > 2").groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("a"))
@@ -445,49 +478,99 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     links, sets = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
-    m = members.where("c > 2").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    open_keys = open_keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    m = _tiled(m.join(open_keys, "key")).join(node.select("node", "n", "vec"), "node")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    pairs = m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
+    m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "pos", F.coalesce("component", "node").alias("comp")), "placed")
+    parts = stored(m.groupBy("key", "comp").agg(F.count("*").alias("c")), "parts")
+    open_keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    open_keys = stored(open_keys.select("key", F.col("most.comp").alias("main"), _blocks(F.col("most.c")).alias("main_blocks"), _blocks(F.col("c") - F.col("most.c")).alias("blocks"), "c"), "open")
+    # how many rows the blocks have in all, so that a task has a bounded number
+    dealt = open_keys.agg(F.sum(F.col("c") * (F.col("main_blocks") + F.col("blocks")))).first()[0] or 0
+    own = stored(members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own")), "own")
+    m = m.join(open_keys.drop("c"), "key")
+    main = F.col("comp") == F.col("main")
+    m = _dealt(m, F.when(main, F.col("blocks") + _side(F.col("main_blocks"))).otherwise(_side(F.col("blocks"))), F.when(main, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")))
+    earlier = F.filter("own", lambda x: x < F.col("key"))
+    m = m.join(own, "node").select("key", "i", "j", "same", "side", "node", "comp", "pos", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - BEFORE + 1), BEFORE).alias("before"))
+    m = m.join(node.select("node", "n", "vec"), "node")
+    tasks = pieces(spark, dealt, 4 * BLOCK)
+    pairs = m.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
     more, more_sets = verified(pairs)
-    links = links.union(more)
-    comp = stored(components(links), "components")
-    # every node of a link had its set fetched; of two nodes the only link is known
-    sets = sets.union(more_sets.join(sets.select("node"), "node", "left_anti"))
-    sized = comp.join(node.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("members")).where("c > 2")
-    blocks = F.ceil(F.greatest(F.col("c") / TILE, F.col("members") / TILE_MEMBERS)).cast("int")
-    sized = stored(sized.select("component", F.least(blocks, F.col("c").cast("int")).alias("blocks")), "sized")
-    inner = stored(comp.join(sized, "component"), "inner")
-    tiles = _tiled(inner).join(sets, "node")
-    whole = tiles.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_tiles(num, den), "a bigint, b bigint")
-    pairs_of_two = links.join(inner.select(F.col("node").alias("a")), "a", "left_anti")
-    return p.select("id", "node", "n"), stored(pairs_of_two.union(whole), "all-links"), comp
+    dropped(members, leader, stars, comp, parts, open_keys, own)
+    every_link = stored(links.union(more), "links")
+    comp = stored(components(every_link), "components")
+    # every node of a link had its set fetched
+    inner = sets.union(more_sets.join(sets.select("node"), "node", "left_anti")).join(comp.select("node"), "node", "left_semi")
+    held = stored(inner, "sets")
+    dropped(links, more, sets, more_sets, node)
+    return Joined(ids, every_link, comp, held, [ids, every_link, comp, held])
+
+
+def _inner(j: Joined, num: int, den: int, copies: DataFrame, pairs: bool) -> DataFrame:
+    """Step 6 for components of three or more nodes."""
+    spark = j.nodes.sparkSession
+    sized = j.components.join(j.sets.select("node", F.length("members").alias("bytes")), "node")
+    sized = sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")).where("c > 2")
+    blocks = F.ceil(F.greatest(F.col("c") / TILE, F.col("bytes") / (8 * TILE_MEMBERS))).cast("int")
+    sized = stored(sized.select("component", "c", F.least(blocks, F.col("c").cast("int")).alias("blocks")), "sized")
+    dealt = sized.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0
+    tiles = j.components.join(sized.drop("c"), "component")
+    tiles = _dealt(tiles, _side(F.col("blocks")), F.col("blocks")).join(copies, "node").join(j.sets, "node")
+    tiles = tiles.repartition(pieces(spark, dealt, TILE), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return tiles.mapInArrow(_tiles(num, den, pairs), "a bigint, b bigint" if pairs else "node bigint, near bigint")
+
+
+def _pairs_of_two(j: Joined) -> DataFrame:
+    two = j.components.groupBy("component").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("c = 2")
+    return two.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+
+
+def _copies(nodes: DataFrame) -> DataFrame:
+    return stored(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
 
 
 def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(nodes as (id, node, n), all links as (a, b), a < b, between nodes) of docs (id, text)."""
-    return joined(docs, k, num, den)[:2]
+    j = joined(docs, k, num, den)
+    links = stored(_pairs_of_two(j).union(_inner(j, num, den, _copies(j.nodes), True)), "all-links")
+    return j.nodes, links
+
+
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+
+
+def _labelled(j: Joined, key: str) -> DataFrame:
+    """(key, node, n_shingles, component_id) of each row."""
+    p = j.nodes.join(j.components, "node", "left").select("id", "node", "n", F.coalesce("component", "node").alias("c"))
+    p = stored(p, "placed")
+    low = stored(p.where("c is not null").groupBy("c").agg(F.min("id").alias("low")), "low")
+    return p.join(low, "c", "left").select(F.col("id").alias(key), "node", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of each row: the set's size and the smallest id that links reach."""
+    j = joined(_documents(docs, key, text), k, num, den)
+    out = _labelled(j, key).drop("node")
+    dropped(*j.scratch)
+    return out
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, n_links) of each row: the set's size, the smallest id that links reach, and how
-    many other rows are linked with it, copies among them."""
-    d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    p, links, comp = joined(d, k, num, den)
-    copies = stored(p.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
-    ends = links.select("a", "b").union(links.select("b", "a"))
-    near = stored(ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near")), "near")
+    """(key, n_shingles, component_id, n_links) of each row: as groups(), and how many other rows are linked with it,
+    copies among them."""
+    j = joined(_documents(docs, key, text), k, num, den)
+    copies = _copies(j.nodes)
+    two = _pairs_of_two(j)
+    two = two.select(F.col("a").alias("node"), F.col("b").alias("other")).union(two.select("b", "a"))
+    two = two.join(copies.select(F.col("node").alias("other"), F.col("copies").alias("near")), "other").select("node", "near")
+    near = stored(two.union(_inner(j, num, den, copies, False)).groupBy("node").agg(F.sum("near").alias("near")), "near")
+    p = _labelled(j, key)
+    dropped(*j.scratch)
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("near", F.lit(0))
-    p = p.join(comp, "node", "left").join(copies, "node", "left").join(near, "node", "left")
-    p = stored(p.select("id", "node", "n", F.coalesce("component", "node").alias("c"), n_links.alias("n_links")), "placed")
-    low = stored(p.where("c is not null").groupBy("c").agg(F.min("id").alias("low")), "low")
-    return p.join(low, "c", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), "n_links")
+    return p.join(copies, "node", "left").join(near, "node", "left").select(key, "n_shingles", "component_id", n_links.alias("n_links"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+    return join(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP8_SQL = """
@@ -498,9 +581,10 @@ s as (select distinct doc_id, unnest(case when len(ws) >= 3 then [ws[i] || ' ' |
 n as (select doc_id, count(*) as n from s group by doc_id),
 laps as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
 link as (select a, b from laps join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
-reach(doc_id, c) as (select doc_id, doc_id from w union select link.b, reach.c from reach join link on link.a = reach.doc_id)
-select w.doc_id, coalesce(n.n, 0) as n_shingles, min(c) as component_id
-from w left join n on n.doc_id = w.doc_id join reach on reach.doc_id = w.doc_id group by w.doc_id, n.n
+reach(doc_id, c) as (select doc_id, doc_id from w union select link.b, reach.c from reach join link on link.a = reach.doc_id),
+near as (select a, count(*) as n_links from link group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, min(c) as component_id, coalesce(n_links, 0) as n_links
+from w left join n on n.doc_id = w.doc_id left join near on near.a = w.doc_id join reach on reach.doc_id = w.doc_id group by w.doc_id, n.n, n_links
 """
 
 
