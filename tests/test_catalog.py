@@ -2,6 +2,10 @@
 
 import glob
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -61,3 +65,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    """A copy of the repository without millrace/llm and tests/llm, with and without corpus_pipeline.py."""
+    root = Path(__file__).resolve().parent.parent
+    for gone in ((), ("corpus_pipeline.py",)):
+        copy = tmp_path / f"copy{len(gone)}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", *gone))
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}, check=True)
+        assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False", "False"]
