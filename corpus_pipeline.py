@@ -27,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links connect, the document with the smallest doc_id stays; documents without words, and those
     without an id, are in no group."""
-    groups = ngram_join.join(docs, SHINGLE, SIMILARITY, 100)
+    groups = ngram_join.groups(docs, SHINGLE, SIMILARITY, 100)
     return without(docs, groups.where("component_id <> doc_id"), "doc_id")
 
 
