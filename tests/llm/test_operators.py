@@ -271,23 +271,65 @@ def test_substring_dedup_cases(spark):
 
 
 @has_data
-def test_lm_is_brute_force(spark):
-    rows = [*docs_of(), (5000, None), (5001, ""), (5002, "zzz zzz qqq")]
-    df = spark.createDataFrame(rows, DOCS)
+@pytest.mark.parametrize(("block", "lane"), [(4 << 20, 512), (20_000, 3)])
+def test_lm_is_brute_force(spark, monkeypatch, block, lane):
+    monkeypatch.setattr(lm_scoring, "LANE", lane)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    docs = docs_of()
+    rows = [*docs, (5000, None), (5001, ""), (5002, "zzz zzz qqq"), (5003, docs[3][1]), (5004, docs[3][1]), (5005, docs[9][1].upper())]
+    df = spark.createDataFrame(rows, DOCS).withColumn("block", F.lit("clash"))
     got = lm_scoring.score(df, crc_mod5() != 1).collect()
-    want = lm_scoring.brute_force(rows, list(got[0].shares))
+    want, shares = lm_scoring.brute_force(rows)
     assert len(got) == len(rows)
+    assert list(got[0].shares) == pytest.approx(shares)
     for r in got:
         n, known, base, total = want[r.doc_id]
         assert (r.n_tokens, r.n_known) == (n, known)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total, rel=1e-9)
+
+
+def test_lm_cases(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "c")], DOCS)
     assert lm_scoring.score(df.limit(0), crc_mod5() != 1).count() == 0
-    untaught = lm_scoring.score(df.limit(3), F.lit(False)).collect()
-    assert all(r.train_tokens == 0 and r.n_known == 0 for r in untaught)
+    untaught = lm_scoring.score(df, F.lit(False)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score for r in untaught)
     twice = lm_scoring.score(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], DOCS), F.col("doc_id") == 1).collect()
     assert len({r.score for r in twice}) == 1 and twice[0].train_tokens == 6
 
 
+def test_lm_states_hand_down_at_most_one():
+    """All words after a state have a probability of one at most in sum, whatever b is, and the failure arc is used."""
+    data = "a b c a b d a b c b c c".encode()
+    x = lm_scoring.Tokens(np.array([len(data)]), data, 64)
+    totals = tuple(np.bincount(at[at >= 0], minlength=len(k)) for k, at in zip(x.keys, (x.word, x.pair, x.triple), strict=True))
+    a = lm_scoring.Automaton(x, totals, len(x.word), len(x.keys[0]))
+    out = np.zeros(len(a.left))
+    np.add.at(out, a.from2, 10 ** a.weight2)
+    np.add.at(out, a.from3, 10 ** a.weight3)
+    ended = a.words + x.word[x.end][0]
+    used = [s for s in (*a.from2, *a.from3) if s != ended]
+    assert np.allclose(out[used], 1.0)  # before 1 - b; the failure arc has b
+    assert (10**a.root_weight).sum() + 0.5 / a.denominator == pytest.approx(1.0)
+    assert all(a.fail[s] in range(a.words, a.pairs) for s in range(a.pairs, len(a.left))) and not a.fail[: a.pairs].any()
+
+
+@has_data
+def test_lm_base_is_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    import zlib
+
+    con.create_function("crc", lambda s: zlib.crc32(s.encode()), ["VARCHAR"], "UBIGINT")
+    want = con.sql(lm_scoring.OP7_BASE_SQL.format(held_out="crc(doc_id::varchar) % 5 = 1"))
+    got = {r.doc_id: r for r in lm_scoring.op7_lm_scoring(spark, DATA).collect()}
+    for w in want.fetchall():
+        x = dict(zip(want.columns, w, strict=True))
+        r = got.pop(x["doc_id"])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"])
+        assert r.base_score == pytest.approx(x["base_score"], rel=1e-9)
+    assert not got
+
+
 @has_data
 def test_lm_beats_its_base_on_held_out_texts(spark):
     held = [r for r in lm_scoring.op7_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
