@@ -18,9 +18,9 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
    nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. A pair
    is handed on by the shard of its first common key alone, and only if what follows that key in both orders is enough
-   for a link. Shards of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded task; blocks
-   of the component that most members are of aren't paired with each other, so a shard of k members of one component and
-   a few others costs about k. Surviving pairs are verified.
+   for a link. Shards of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded group; those
+   of the component that most members are of have blocks of their own, which aren't paired with each other, so a shard of
+   k members of one component and a few others costs about k. Surviving pairs are verified.
 5. Components of the links so far, and the smallest doc_id of each. Steps 3 and 4 look at no pair that is connected
    already, so they give all components, but not yet all links.
 6. All links. A link never leaves its component, so every pair of a component of three or more nodes is compared on its
@@ -278,6 +278,8 @@ def _shards(num: int, den: int):
         vec = [np.frombuffer(x.as_py(), np.uint8) for x in g.column("vec")]
         size = np.array([len(v) for v in vec])
         rest = n - pos  # members from this key on
+        kinds, counts_ = np.unique(comp, return_counts=True)
+        main = comp == kinds[counts_.argmax()]
         met: dict[int, frozenset] = {}
         before = lambda i: met[i] if i in met else met.setdefault(i, frozenset(g.column("before")[i].as_py()))
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -293,10 +295,14 @@ def _shards(num: int, den: int):
             else:
                 tree = CountTree(points, sizes, num, den)
                 pairs = []
-                for i in np.flatnonzero(own):
+                inner = main[at]
+                # one of a pair isn't of the component that most are of: whichever are fewer ask
+                few = len(at) - int(inner.sum()) < int(own.sum())
+                for i in np.flatnonzero(~inner if few else own):
                     y = tree.near(points[i], int(sizes[i]))
-                    y = y[(y > i) | ~own[y]]
-                    pairs.append((np.full(len(y), i), y))
+                    y = y[(own[i] | own[y]) & (inner[y] | (y > i)) if few else (y > i) | ~own[y]]
+                    if len(y):
+                        pairs.append((np.full(len(y), i), y))
             for x, y in pairs:
                 x, y = at[x], at[y]
                 ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y])) & (np.minimum(rest[x], rest[y]) * (num + den) >= num * (n[x] + n[y]))
@@ -481,17 +487,18 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "pos", F.coalesce("component", "node").alias("comp")), "placed")
     parts = stored(m.groupBy("key", "comp").agg(F.count("*").alias("c")), "parts")
     open_keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    open_keys = stored(open_keys.select("key", F.col("most.comp").alias("main"), _blocks(F.col("most.c")).alias("main_blocks"), _blocks(F.col("c") - F.col("most.c")).alias("blocks"), "c"), "open")
+    large = F.col("c") > BLOCK
+    open_keys = stored(open_keys.select("key", F.when(large, F.col("most.comp")).alias("main"), F.when(large, _blocks(F.col("most.c"))).otherwise(0).alias("main_blocks"), F.when(large, _blocks(F.col("c") - F.col("most.c"))).otherwise(1).alias("blocks"), "c"), "open")
     # how many rows the blocks have in all, so that a task has a bounded number
     dealt = open_keys.agg(F.sum(F.col("c") * (F.col("main_blocks") + F.col("blocks")))).first()[0] or 0
     own = stored(members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("own")), "own")
     m = m.join(open_keys.drop("c"), "key")
-    main = F.col("comp") == F.col("main")
+    main = F.col("comp").eqNullSafe(F.col("main"))
     m = _dealt(m, F.when(main, F.col("blocks") + _side(F.col("main_blocks"))).otherwise(_side(F.col("blocks"))), F.when(main, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")))
     earlier = F.filter("own", lambda x: x < F.col("key"))
     m = m.join(own, "node").select("key", "i", "j", "same", "side", "node", "comp", "pos", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - BEFORE + 1), BEFORE).alias("before"))
     m = m.join(node.select("node", "n", "vec"), "node")
-    tasks = pieces(spark, dealt, 4 * BLOCK)
+    tasks = pieces(spark, dealt, 64 * BLOCK)
     pairs = m.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
     more, more_sets = verified(pairs)
     dropped(members, leader, stars, comp, parts, open_keys, own)
@@ -514,7 +521,7 @@ def _inner(j: Joined, num: int, den: int, copies: DataFrame, pairs: bool) -> Dat
     dealt = sized.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0
     tiles = j.components.join(sized.drop("c"), "component")
     tiles = _dealt(tiles, _side(F.col("blocks")), F.col("blocks")).join(copies, "node").join(j.sets, "node")
-    tiles = tiles.repartition(pieces(spark, dealt, TILE), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    tiles = tiles.repartition(pieces(spark, dealt, 4 * TILE), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     return tiles.mapInArrow(_tiles(num, den, pairs), "a bigint, b bigint" if pairs else "node bigint, near bigint")
 
 
