@@ -474,3 +474,20 @@ def test_url_filters(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
     plan = url_filters.judge(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_links_are_resolved(spark):
+    canonical = lambda *to: "".join(f'<link rel="alternate canonical" href="{t}">' for t in to)
+    pages = [
+        (1, "http://y.q/a/b.html?x#f", canonical("c.html", "../d", "./e/./f/..", "?q=1", "//z.q/g/../h", "http://U.q", "/i/", "#top", "mailto:a@b", "j?u=http://k.q&amp;v=1")),
+        (2, "https://y.q", "<base href='/base/x'>" + "<link href=' k.html ' rel='canonical'><meta content='3;URL=../l' http-equiv=refresh>"),
+        (3, "no url", canonical("http://m.q/")),
+    ]
+    got = [tuple(r) for r in url_filters.page_links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    one, two = "//y.q/a/b.html?x", "//y.q/"
+    assert sorted(got) == sorted(
+        [(one, t) for t in ("//y.q/a/c.html", "//y.q/d", "//y.q/a/e/", "//y.q/a/b.html?q=1", "//z.q/h", "//u.q/", "//y.q/i/", one, "//y.q/a/j?u=http://k.q&v=1")]
+        + [(two, "//y.q/base/k.html"), (two, "//y.q/l")])
+    blocked = [(1, "http://w.q/a/b.html", canonical("../c.html")), (2, "http://w.q/c.html", canonical("http://x.net/de/")), (3, "http://w.q/a/c.html", None)]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(blocked, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
