@@ -6,15 +6,16 @@ first is the response with WARC-Segment-Number 1, the others are continuation re
 WARC-Segment-Origin-ID; the last has WARC-Segment-Total-Length. Archives are gzipped text files that Spark's writer
 makes, with the record separator CR LF CR LF as line separator, so they can be in any store that Spark reaches.
 
-Reading: each archive is parsed by itself and record by record. Only segmented records are shuffled: grouped by origin
+Reading: each archive is parsed by itself, inflated a piece at a time and handed on record by record, so a task holds the
+archive as it is stored and its largest record. Only segmented records are shuffled: grouped by origin
 identifier, ordered by segment number, and held against the total length; then the chunked framing is undone. A record
 whose segments are missing, repeated, or of another length, whose framing is broken or whose payload hasn't the digest
 it names is kept with `problem` set and a null payload. Revisits take their payload's length from the record they name.
 
-Defined cases: null html is an empty payload, a null url leaves WARC-Target-URI out, a null page_id is an error, an empty
-table gives no archive and no record, further columns of pages are ignored. Each of several rows with one page_id is a
-record with an identifier of its own (page and place of writing); a revisit names the page, and of the page's records
-that one is meant which has the revisit's digest.
+Defined cases: null html is an empty payload, a null url leaves WARC-Target-URI out, a page with a null page_id is a
+response that no revisit names, an empty table gives no archive and no record, further columns of pages are ignored. Each
+of several rows with one page_id, or with none, is a record with an identifier of its own (page and place of writing); a
+revisit names the page, and of the page's records that one is meant which has the revisit's digest.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -74,9 +75,9 @@ def _head(version: bytes, fields: list[tuple[str, str]]) -> bytes:
     return version + b"".join(f"\r\n{k}: {re.sub('[^ -~]', lambda m: ''.join(f'%{b:02X}' for b in m[0].encode()), v)}".encode() for k, v in fields)
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: str = "") -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: str = "") -> Iterator[bytes]:
     """The records of one page, without the closing CR LF CR LF. `row` tells rows with one page_id apart."""
-    name = f"{page_id}{row}"
+    name = f"{'none' if page_id is None else page_id}{row}"
     sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     target = [("WARC-Target-URI", url)] if url is not None else []
     common = [("WARC-Record-ID", _ID.format(name)), ("WARC-Date", DATE), *target, ("WARC-Payload-Digest", f"sha1:{sha}")]
@@ -98,36 +99,55 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
         yield _head(b"WARC/1.1", [*kind, *segment, ("Content-Length", str(len(part)))]) + END + part
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record of an uncompressed archive that comes in pieces."""
+    held, at, read = bytearray(), 0, 0
+    source = iter(pieces)
+
+    def until(n: int) -> bool:
+        """Whether n bytes from `at` are there; reads on as far as needed."""
+        nonlocal held, at, read
+        while len(held) - at < n:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            del held[:at]
+            read, at = read + at, 0
+            held += piece
+        return True
+
+    while until(1):
+        if held[at : at + 2] == b"\r\n" or (until(2) and held[at : at + 2] == b"\r\n"):
             at += 2
             continue
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        end = held.find(END, at)
+        while end < 0 and until(len(held) - at + 1):
+            end = held.find(END, at)
+        if end < 0 or not held.startswith(b"WARC/", at):
+            raise ValueError(f"no record at byte {read + at}")
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = end + 4 + size
+        size, head = int(fields["content-length"]), end + 4 - at
+        if not until(head + size):
+            raise ValueError(f"the record at byte {read + at} is cut off")
+        yield fields, bytes(held[at + head : at + head + size])
+        at += head + size
 
 
-def unzipped(data: bytes) -> bytes:
-    """All members of a gzip file; other bytes as they are."""
-    out = []
+def unzipped(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """All members of a gzip file in pieces of about `size` bytes; other bytes as they are."""
     while data[:2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join([*out, data])
+        at = 0
+        while not z.eof and (at < len(data) or z.unconsumed_tail):
+            rest = z.unconsumed_tail or data[at : at + size]
+            at += 0 if z.unconsumed_tail else len(rest)
+            yield z.decompress(rest, size)
+        yield z.flush()
+        data = z.unused_data + data[at:]
+    yield data
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +156,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for page_id, url, html, refers, repeated in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to", "repeated")), strict=True):
             row += 1
-            for r in page_records(page_id, url, (html or "").encode(), refers, row=f":r{task}-{row}" if repeated else ""):
+            for r in page_records(page_id, url, (html or "").encode(), refers, row=f":r{task}-{row}" if repeated or page_id is None else ""):
                 out.append(r)
                 size += len(r)
             if size > 4 << 20:
@@ -255,7 +275,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.regexp_extract(c, _PAGE, 1).cast("bigint")
+    page = lambda c: F.nullif(F.regexp_extract(c, _PAGE, 1), F.lit("")).cast("bigint")
     r = read(spark, path).select(page(F.col("record_id")).alias("page_id"), "kind", "payload_bytes", "payload_digest", "problem", F.when(F.col("refers_id").isNotNull(), page(F.col("refers_id"))).alias("refers_to"))
     r = stored(r, "records")  # archives are parsed once
     # what revisits name: one row for each payload that is named, whatever the number of its revisits and of its records

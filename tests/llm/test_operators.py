@@ -104,7 +104,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_repeated_pages_are_a_record_each(spark, tmp_path):
     long, other, small = "a" * 40000, "b" * 50000, "c" * 2000
-    rows = [(1, "u", long), (1, "u", long), (1, "v", other), (2, "u", small), (2, "u", small), (3, "u", "d" * 1500), (9, "u", small), (9, "w", small), (9, "u", long), (9, "x", "e")]
+    rows = [(None, "u", long), (None, "u", long), (None, None, None), (None, "u", "n" * 60000), (1, "u", long), (1, "u", long), (1, "v", other), (2, "u", small), (2, "u", small), (3, "u", "d" * 1500), (9, "u", small), (9, "w", small), (9, "u", long), (9, "x", "e")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
@@ -116,7 +116,7 @@ def test_warc_repeated_pages_are_a_record_each(spark, tmp_path):
 def test_warc_broken_segments_are_reported(spark):
     records = [r for r in warc.page_records(5, "u", b"x" * 500, None, segment_bytes=200)]
     assert len(records) == 3 or len(records) == 4
-    parsed = lambda rs: list(warc.parsed(b"".join(r + warc.END for r in rs)))
+    parsed = lambda rs: list(warc.parsed([b"".join(r + warc.END for r in rs)]))
 
     def table(rs):
         rows = []
@@ -133,6 +133,30 @@ def test_warc_broken_segments_are_reported(spark):
     assert of(records + records[1:2]) == ["segments are missing or repeated"]
 
 
+def test_warc_is_read_in_pieces():
+    import gzip
+
+    rng = random.Random(4)
+    payloads = [bytes(rng.randbytes(rng.choice([0, 10, 3000, 100_000]))) for _ in range(12)]
+    records = [r for i, p in enumerate(payloads) for r in warc.page_records(i, "u", p, None)]
+    whole = b"".join(r + warc.END for r in records)
+    want = list(warc.parsed([whole]))
+    assert len(want) == len(records) and sum(len(b) for _, b in want) > sum(map(len, payloads))
+    members = b"".join(gzip.compress(r + warc.END) for r in records)  # a member a record
+    for data in (whole, gzip.compress(whole), members):
+        for size in (7 if len(data) < 1 << 16 else 997, 1 << 20):
+            assert list(warc.parsed(warc.unzipped(data, size))) == want
+    assert list(warc.parsed(whole[i : i + 501] for i in range(0, len(whole), 501))) == want
+    for bad in (whole[:-500_00], whole[3:], b"WARC/1.1"):
+        with pytest.raises(ValueError):
+            list(warc.parsed([bad]))
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string, record string, sha string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op2_warc(spark, str(tmp_path)).count() == 0
+
+
 def test_chunks():
     for n in (0, 1, 4095, 4096, 4097, 20000):
         data = bytes(random.Random(n).randbytes(n))
