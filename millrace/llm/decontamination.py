@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced seeds.
 
 Tokens are runs of letters and digits (A-Z folded, all bytes beyond ASCII are letters), so case and punctuation don't
-matter. A seed is a window of tokens seen through a mask that ignores some positions. Windows of 13 tokens are cut into
-four blocks, and each of six masks keeps two of them: whichever two tokens differ, one mask at least sees none of them,
-so every window of 13 tokens in a document that agrees with one of an item in 11 is found. Items of 9 to 12 tokens use
-windows of 9 and three masks of two blocks in three (one token may differ); items of MIN_TOKENS to 8 tokens are looked up
-whole; shorter ones are no evidence and match nothing. Hashes of benchmark windows are joined with hashes of training
-windows; each hit fixes an alignment of a document with an item, which is verified: some WINDOW consecutive aligned
-tokens (all of a shorter item) must agree in at least NUM / DEN of them.
+matter. The rule: a document holds an item if, in some alignment of both, WINDOW consecutive tokens of the item (all of a
+shorter one) agree in at least NUM / DEN; tokens beyond the document's ends agree with nothing. Items of fewer than `least`
+tokens are no evidence and match nothing.
+
+A seed is a window of tokens seen through a mask that ignores some positions. A window of n tokens may differ in e = n -
+ceil(NUM n / DEN) of them. It is cut into blocks, e + 2 of them where e is above 0, and each mask keeps two: whichever e
+tokens differ, one mask at least sees none of them, so every alignment that the rule accepts has a seed. Documents are
+framed by EDGE tokens that agree with nothing, so windows that reach over their ends have seeds, too. Items of WINDOW
+tokens or more are looked up by all their windows, shorter ones by the one of their own length. Hashes of benchmark
+windows are joined with hashes of training windows; each hit fixes an alignment, which is verified by the rule.
 
 The scan of the corpus keeps what may hit: a bitmap of fixed size over the benchmark's hashes is broadcast, and if these
 are no more than EXACT_ROWS also the hashes themselves; the join that follows is exact in any case. Hits of a document
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table, tidy, without
-from .vectext import Words, inside, ints, joined, mix, windows, words
+from .vectext import Words, inside, ints, joined, words
 
 U = np.uint64
-#: Masks by the length of their windows; 1 is a position that counts.
-MASKS = {
-    13: ("1111110000000", "1110001110000", "1110000001111", "0001111110000", "0001110001111", "0000001111111"),
-    9: ("111111000", "000111111", "111000111"),
-}
-SPAN, SHORT = 13, 9
+#: Tokens of a window, and the share of them that must agree.
 WINDOW = 13
 NUM, DEN = 4, 5
-MIN_TOKENS = 5
+LEAST = 2
+#: Tokens that a window may differ in, and reach over an end of a document by.
+EDGE = WINDOW - -(-NUM * WINDOW // DEN)
+NOTHING = U(0)
 BITS = 1 << 26
 EXACT_ROWS = 2_000_000
 
@@ -59,23 +61,33 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return x
 
 
-def span_of(m: int) -> int:
-    """The length of windows that an item of m tokens is looked up by."""
-    return SPAN if m >= SPAN else SHORT if m >= SHORT else m
+def masks(n: int) -> list[str]:
+    """Masks of windows of n tokens; 1 is a position that counts."""
+    e = n - -(-NUM * n // DEN)
+    if not e:
+        return ["1" * n]
+    cuts = [n * i // (e + 2) for i in range(e + 3)]
+    return ["".join(("1" if i in kept else "0") * (cuts[i + 1] - cuts[i]) for i in range(e + 2)) for kept in combinations(range(e + 2), 2)]
 
 
 def span_hashes(h: np.ndarray, span: int) -> list[np.ndarray]:
-    """Hashes of all windows of a length, by mask; whole windows for the lengths of short items."""
-    if span in MASKS:
-        return [seeds(h, mask, 0x100 * span + i) for i, mask in enumerate(MASKS[span])]
-    return [mix(windows(h, span) + U(span))]
+    """Hashes of all windows of a length, by mask."""
+    return [seeds(h, mask, 0x100 * span + i) for i, mask in enumerate(masks(span))]
+
 
+def framed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc, first) of a piece whose documents have EDGE tokens before and after them."""
+    first = w.first + 2 * EDGE * np.arange(len(w.first))
+    h = np.full(int(first[-1]), NOTHING)
+    h[np.arange(len(w.hash)) + EDGE * (2 * w.doc + 1)] = w.hash
+    return h, np.repeat(np.arange(w.rows), np.diff(first)), first
 
-def _window_hashes(w: Words, spans: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+
+def _window_hashes(h: np.ndarray, doc: np.ndarray, spans: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(positions, hashes, length) by length and mask."""
     for span in spans:
-        at = np.flatnonzero(inside(w.doc, span))
-        for x in span_hashes(w.hash, span) if len(at) else ():
+        at = np.flatnonzero(inside(doc, span))
+        for x in span_hashes(h, span) if len(at) else ():
             yield at, x[at], span
 
 
@@ -90,9 +102,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, tokens in zip(b.column("item").to_pylist(), b.column("tokens").to_pylist(), strict=True):
             h = np.frombuffer(tokens, U)
-            if len(h) < MIN_TOKENS:
-                continue
-            found = span_hashes(h, span_of(len(h)))
+            found = span_hashes(h, min(WINDOW, len(h)))
             yield pa.record_batch([ints(np.concatenate(found)), pa.array([item] * sum(map(len, found)), pa.int64()), pa.array(np.concatenate([np.arange(len(x)) for x in found]), pa.int64())], ["h", "item", "pos"])
 
 
@@ -104,7 +114,8 @@ def _scan(bits, exact, spans: list[int]):
         for b in batches:
             for w in words(b.column(1), True, "alnum"):
                 pos, hit, size = [], [], []
-                for at, h, m in _window_hashes(w, spans):
+                tokens, row, first = framed(w)
+                for at, h, m in _window_hashes(tokens, row, spans):
                     bit = h & mask
                     ok = np.flatnonzero((bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1))
                     if known is not None and len(ok):
@@ -117,16 +128,16 @@ def _scan(bits, exact, spans: list[int]):
                 pos, hit, size = np.concatenate(pos), np.concatenate(hit), np.concatenate(size)
                 order = np.argsort(pos, kind="stable")
                 pos, hit, size = pos[order], hit[order], size[order]
-                doc = w.doc[pos]
+                doc = row[pos]
                 # hits whose surroundings touch share a row
-                new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > SPAN + 2 * WINDOW))
+                new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > 3 * WINDOW))
                 start = np.flatnonzero(new)
                 end = np.append(start[1:], len(pos))
-                low = np.maximum(w.first[doc[start]], pos[start] - WINDOW)
-                high = np.minimum(w.first[doc[start] + 1], np.maximum.reduceat(pos + size, start) + WINDOW)
+                low = np.maximum(first[doc[start]], pos[start] - WINDOW)
+                high = np.minimum(first[doc[start] + 1], np.maximum.reduceat(pos + size, start) + WINDOW)
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[start] + w.row)), pa.array([uuid.uuid4().hex for _ in start]),
-                    pa.array(low - w.first[doc[start]], pa.int64()), pa.array([w.hash[x:y].tobytes() for x, y in zip(low, high, strict=True)], pa.binary()),
+                    pa.array(low - first[doc[start]] - EDGE, pa.int64()), pa.array([tokens[x:y].tobytes() for x, y in zip(low, high, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.append(start, end[-1]), pa.int32()), pa.StructArray.from_arrays([ints(hit), pa.array(pos - np.repeat(low, end - start), pa.int64())], ["h", "pos"])),
                 ], ["id", "part", "start", "tokens", "hits"])
 
@@ -154,7 +165,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.select(["id", "item", "start", "tokens", "shift", "item_tokens"]).to_pylist():
             got, size, at, every = best_window(np.frombuffer(x["tokens"], U), np.frombuffer(x["item_tokens"], U), x["shift"])
             if DEN * got >= NUM * size:
-                rows.append((x["id"], x["item"], got, size, every, at + x["start"]))
+                rows.append((x["id"], x["item"], got, size, every, max(0, at + x["start"])))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.record_batch([pa.array(cols[0], b.schema.field("id").type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "item", "matched", "window", "n_matched", "position"])
 
@@ -167,16 +178,17 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return out.view(U)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(key, item_key, matched, window, n_matched, position): a row for each document and each item that it holds;
-    `matched` of `window` tokens agree in the best window, which begins at token `position` of the document."""
+    `matched` of `window` tokens agree in the best window, which begins at token `position` of the document (0 if before
+    it); `n_matched` tokens of the item agree in that alignment."""
     spark = docs.sparkSession
     items = stored(benchmark.select(F.col(item_key).cast("bigint").alias("item_id"), item_text).mapInArrow(_items, "item_id bigint, tokens binary, m int"), "items")
-    once = items.where(F.col("m") >= MIN_TOKENS).groupBy("tokens").agg(F.min("item_id").alias("item"), F.first("m").alias("m"))
+    once = items.where(F.col("m") >= max(1, least)).groupBy("tokens").agg(F.min("item_id").alias("item"), F.first("m").alias("m"))
     once = stored(once, "item-sequences")
     tests = stored(once.mapInArrow(_item_seeds, "h bigint, item bigint, pos bigint"), "item-seeds")
-    # lengths of items, a long one counting as SPAN: at most SPAN rows
-    spans = sorted({span_of(r["m"]) for r in once.select(F.least("m", F.lit(SPAN)).alias("m")).distinct().collect()})
+    # lengths of items, a long one counting as WINDOW: at most WINDOW rows
+    spans = sorted(r["m"] for r in once.select(F.least("m", F.lit(WINDOW)).alias("m")).distinct().collect())
     bits = spark.sparkContext.broadcast(bitmap_of(tests))
     few = tests.count() <= EXACT_ROWS
     exact = spark.sparkContext.broadcast(np.unique(tests.select("h").toArrow().column("h").to_numpy().view(U)) if few else None)
@@ -207,25 +219,33 @@ def tokens_of(text: str | None) -> list[bytes]:
     return bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in raw).split()
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
-    """(doc, item) of every alignment that one seed supports and the rule accepts, for tests."""
+OP1_SQL = """
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+u as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+dt as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as p from t),
+it as (select item_id, len(ws) as m, least(13, len(ws)) as size, unnest(ws) as w, unnest(range(len(ws))) as k from u where len(ws) >= 2),
+same as (select doc_id, item_id, m, size, p - k as shift, list(k) as ks, count(*) as n_matched from dt join it using (w) group by doc_id, item_id, m, size, p - k),
+win as (select *, unnest(range(m - size + 1)) as a from same where 5 * n_matched >= 4 * size),
+runs as (select doc_id, item_id, size, shift, a, n_matched, len([k for k in ks if k >= a and k < a + size]) as matched from win),
+best as (select *, row_number() over (partition by doc_id, item_id, shift order by matched desc, a) as r from runs),
+one as (select *, greatest(0, a + shift) as position, row_number() over (partition by doc_id, item_id order by matched desc, n_matched desc, greatest(0, a + shift)) as q from best where r = 1 and 5 * matched >= 4 * size)
+select doc_id, item_id, matched, size as "window", n_matched, position from one where q = 1
+"""
+
+
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], least: int = LEAST) -> set[tuple[int, int]]:
+    """(doc, item) of every alignment that the rule accepts, for tests."""
     out = set()
     for i, t in docs:
         d = tokens_of(t)
         for j, u in items:
             x = tokens_of(u)
             m, size = len(x), min(WINDOW, len(x))
-            if m < MIN_TOKENS:
+            if m < max(1, least):
                 continue
             for shift in range(-m, len(d)):
                 same = [0 <= k + shift < len(d) and d[k + shift] == x[k] for k in range(m)]
-                span = span_of(m)
-                inner = [a for a in range(m - span + 1) if 0 <= a + shift and a + shift + span <= len(d)]
-                if span == SPAN:  # the masks miss none of these
-                    seeded = any(sum(same[a : a + span]) >= span - 2 for a in inner)
-                else:
-                    seeded = any(all(same[a + p] for p, c in enumerate(mask) if c == "1") for a in inner for mask in MASKS.get(span, ["1" * span]))
-                if seeded and any(DEN * sum(same[a : a + size]) >= NUM * size for a in range(m - size + 1)):
+                if any(DEN * sum(same[a : a + size]) >= NUM * size for a in range(m - size + 1)):
                     out.add((i, j))
                     break
     return out

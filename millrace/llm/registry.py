@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontamination.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op8_ngram_join": ngram_join.OP8_SQL,

@@ -44,8 +44,8 @@ def test_decontamination_is_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     some = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, " ".join(some(rng.choice([3, 5, 7, 8, 9, 12, 20, 40])))) for i in range(25)] + [(30, None), (31, "")]
-    items.append((40, items[3][1].upper() + "!"))
+    items = [(i, " ".join(some(rng.choice([1, 2, 3, 5, 7, 8, 9, 10, 12, 13, 14, 20, 40])))) for i in range(40)] + [(50, None), (51, "")]
+    items.append((60, items[3][1].upper() + "!"))
     docs = []
     for i in range(80):
         w = some(rng.randint(0, 30))
@@ -71,6 +71,17 @@ def test_decontamination_is_brute_force(spark):
     assert decontamination.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_masks_see_whatever_the_rule_accepts():
+    from itertools import combinations
+
+    for n in range(1, decontamination.WINDOW + 1):
+        e = n - -(-4 * n // 5)
+        ms = decontamination.masks(n)
+        assert all(len(m) == n and "1" in m for m in ms)
+        for wrong in combinations(range(n), e):
+            assert any(all(m[i] == "0" for i in wrong) for m in ms)
+
+
 def test_decontamination_without_the_exact_filter(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "EXACT_ROWS", -1)
     items = [(1, " ".join(f"x{i}" for i in range(20)))]
@@ -79,6 +90,23 @@ def test_decontamination_without_the_exact_filter(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.matched, r.n_matched, r.position) for r in got] == [(1, 1, 13, 20, 5)]
 
 
+def test_registered_queries_are_their_sql(spark):
+    """Every query of the subpackage that has SQL, as the driver compares them."""
+    from millrace.llm.registry import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for f in Path(DATA).glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from '{f}'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, DATA)
+        want = con.sql(sql)
+        assert sorted(df.columns) == sorted(want.columns), name
+        cols = sorted(df.columns)
+        plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+        got = sorted(([plain(r[c]) for c in cols] for r in df.collect()), key=repr)
+        assert got == sorted(([plain(r[want.columns.index(c)]) for c in cols] for r in want.fetchall()), key=repr), name
+
+
 # 2
 
 
