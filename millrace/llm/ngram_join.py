@@ -252,69 +252,90 @@ def _bounded(num: int, den: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """The groups of rows that are sorted by keys, each as one batch."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that are sorted by keys as batches of whole groups, with where each group begins and the last ends."""
     held: list[pa.RecordBatch] = []
+
+    def cuts(b: pa.RecordBatch) -> np.ndarray:
+        ids = np.stack([b.column(c).to_numpy() for c in keys])
+        return np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
+
+    def out() -> tuple[pa.RecordBatch, np.ndarray]:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return b, np.concatenate([[0], cuts(b), [b.num_rows]])
+
     for b in batches:
         if not b.num_rows:
             continue
-        ids = np.stack([b.column(c).to_numpy() for c in keys])
-        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
-        for a, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-            part = b.slice(a, e - a)
-            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held.clear()
-            held.append(part)
+        if held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in keys):
+            yield out()
+        inner = cuts(b)
+        if len(inner):
+            held.append(b.slice(0, inner[-1]))
+            yield out()
+            held.append(b.slice(inner[-1]))
+        else:
+            held.append(b)
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield out()
 
 
 def _shards(num: int, den: int):
     """Pairs (a, b) of different components from rows sorted by (key, i, j), each group of which is one or two blocks."""
 
-    def join(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def join(g: pa.RecordBatch, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, comp, n, pos, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "pos", "side", "same"))
-        vec = [np.frombuffer(x.as_py(), np.uint8) for x in g.column("vec")]
-        size = np.array([len(v) for v in vec])
         rest = n - pos  # members from this key on
-        kinds, counts_ = np.unique(comp, return_counts=True)
-        main = comp == kinds[counts_.argmax()]
+        vec: dict[int, np.ndarray] = {}
+        point = lambda i: vec[i] if i in vec else vec.setdefault(i, np.frombuffer(g.column("vec")[i].as_py(), np.uint8))
         met: dict[int, frozenset] = {}
         before = lambda i: met[i] if i in met else met.setdefault(i, frozenset(g.column("before")[i].as_py()))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for groups in np.unique(size):  # each pair at the length of its shorter counts
-            at = np.flatnonzero(size >= groups)
-            points = np.stack([folded(vec[i], int(groups)) for i in at])
-            sizes, own = n[at], size[at] == groups
-            if len(at) <= LEAF:
-                x, y = np.triu_indices(len(at), 1)
-                x, y = x[k := own[x] | own[y]], y[k]
-                ok = bound_ok(points[x], points[y], sizes[x], sizes[y], num, den)
-                pairs = [(x[ok], y[ok])]
-            else:
+
+        def asked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            ok = (comp[x] != comp[y]) & (same[x] | (side[x] != side[y])) & (np.minimum(rest[x], rest[y]) * (num + den) >= num * (n[x] + n[y]))
+            ok[ok] = [before(i).isdisjoint(before(j)) for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True)]
+            return ok
+
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        # groups that are no larger than a leaf: all pairs of rows at each distance at once, counts of what is left
+        width = np.diff(cuts)
+        of = np.repeat(width, width)
+        end = np.repeat(cuts[1:], width)
+        for d in range(1, min(LEAF, int(width.max()))):
+            x = np.flatnonzero((of <= LEAF) & (np.arange(len(of)) + d < end))
+            y = x + d
+            ok = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+            x, y = x[ok], y[ok]
+            ok = asked(x, y)
+            x, y = x[ok], y[ok]
+            ok = np.array([fine_ok(point(i), point(j), int(n[i]), int(n[j]), num, den) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+            found.append((x[ok], y[ok]))
+        for a in np.flatnonzero(width > LEAF):
+            rows = np.arange(cuts[a], cuts[a + 1])
+            kinds, times = np.unique(comp[rows], return_counts=True)
+            main = comp[rows] == kinds[times.argmax()]
+            size = np.array([len(point(i)) for i in rows.tolist()])
+            for groups in np.unique(size):  # each pair at the length of its shorter counts
+                at = np.flatnonzero(size >= groups)
+                points = np.stack([folded(point(i), int(groups)) for i in rows[at].tolist()])
+                sizes, own, inner = n[rows[at]], size[at] == groups, main[at]
                 tree = CountTree(points, sizes, num, den)
-                pairs = []
-                inner = main[at]
                 # one of a pair isn't of the component that most are of: whichever are fewer ask
                 few = len(at) - int(inner.sum()) < int(own.sum())
                 for i in np.flatnonzero(~inner if few else own):
                     y = tree.near(points[i], int(sizes[i]))
                     y = y[(own[i] | own[y]) & (inner[y] | (y > i)) if few else (y > i) | ~own[y]]
-                    if len(y):
-                        pairs.append((np.full(len(y), i), y))
-            for x, y in pairs:
-                x, y = at[x], at[y]
-                ok = (comp[x] != comp[y]) & (same[0] | (side[x] != side[y])) & (np.minimum(rest[x], rest[y]) * (num + den) >= num * (n[x] + n[y]))
-                ok[ok] = [before(i).isdisjoint(before(j)) for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True)]
-                out_a.append(np.minimum(node[x], node[y])[ok])
-                out_b.append(np.maximum(node[x], node[y])[ok])
-        return np.concatenate(out_a), np.concatenate(out_b)
+                    x, y = np.full(len(y), rows[at[i]]), rows[at[y]]
+                    ok = asked(x, y)
+                    found.append((x[ok], y[ok]))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ("key", "i", "j")):
-            a, b = join(g)
+        for g, cuts in _whole_groups(batches, ("key", "i", "j")):
+            a, b = join(g, cuts)
             if len(a):
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -396,7 +417,7 @@ def _tiles(num: int, den: int, pairs: bool):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ("component", "i", "j")):
+        for g in (b.slice(a, e - a) for b, cuts in _whole_groups(batches, ("component", "i", "j")) for a, e in zip(cuts, cuts[1:], strict=False)):
             node, side, same, copies = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "same", "copies"))
             sets = [np.frombuffer(s.as_py(), U) for s in g.column("members")]
             size = np.array([len(s) for s in sets])

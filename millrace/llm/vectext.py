@@ -2,11 +2,13 @@
 
 A text is its UTF-8 bytes. Words are maximal runs of bytes that aren't separators and never cross rows. The hash of a
 word is a polynomial over a random table of its bytes, finished by a 64-bit mixer; folding A-Z is a matter of the table.
-Null texts count as empty.
+Polynomials modulo 2^64 can agree for unequal words of a thousand letters or more whatever the base, so words of over
+LONG bytes are hashed by BLAKE2. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,6 +20,9 @@ M1, M2, M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 BASE = U(0x2545F4914F6CDD1D)
 #: Bytes of text that are worked on at a time; a longer text is a piece of its own.
 PIECE = 1 << 20
+#: Bytes up to which a word's hash is a polynomial.
+LONG = 64
+_FOLD = {True: bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), False: bytes(range(256))}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,6 +117,8 @@ def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool, sep: str = "space",
         x = x[start[0] :]
         x *= powers(int(at.max()) + 1)[at]
         h = mix(np.add.reduceat(x, start - start[0]) + (end - start).astype(U) * M3)
+        for i in np.flatnonzero(end - start > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes().translate(_FOLD[fold]), digest_size=8).digest(), "little")
     else:
         h = np.zeros(0, U)
     first = np.searchsorted(doc, np.arange(rows + 1))

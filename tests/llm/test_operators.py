@@ -453,7 +453,9 @@ def test_fine_counts_never_refuse_a_link():
 # 9
 
 
-def test_ann_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("fan", [64, 4])
+def test_ann_recall_and_exact_scores(spark, monkeypatch, fan):
+    monkeypatch.setattr(ann, "FAN", fan)  # 8 partitions: one level, or two
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16)) * 2
     x = (centres[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 16))).astype(np.float32)
@@ -469,7 +471,20 @@ def test_ann_recall_and_exact_scores(spark):
     d = x.astype(np.float64)
     assert all(s == pytest.approx(float((d[q] * d[v]).sum()), rel=1e-12) for q, l_ in got.items() for _, v, s in l_)
     assert all(sorted(r for r, _, _ in l_) == list(range(1, 21)) for l_ in got.values())
-    assert [v for _, v, _ in sorted(got[0])] == [v for v, _ in want[0]]
+    for rows_ in got.values():
+        by_rank = [(-s, v) for _, v, s in sorted(rows_)]
+        assert by_rank == sorted(by_rank)
+
+
+def test_ann_probes_few_partitions_of_clusters():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((64, 24)) * 4
+    x = centres[rng.integers(0, 64, 4000)] + rng.standard_normal((4000, 24))
+    for rows, first in ((1 << 18, 64), (400, 2), (255, 1)):
+        index = ann.Partitions(ann.Level(np.delete(x, np.arange(0, 4000, 5), axis=0), ann.partitions_for(rows)))
+        index.settle(x, np.arange(0, 4000, 5), 20, ann.RECALL)
+        assert index.top.parts == first and index.probes <= max(1, index.top.parts // 2 + 1)
+    assert [ann.partitions_for(n) for n in (0, 255, 256, 500, 2000, 51_000, 10**7, 10**12)] == [1, 1, 2, 2, 4, 32, 512, 4096]
 
 
 def test_ann_cases(spark):

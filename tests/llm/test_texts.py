@@ -44,6 +44,17 @@ def test_equal_windows_have_equal_hashes_and_others_not(ids, k):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words_are_told_apart():
+    """Thue-Morse words and their opposites agree as polynomials modulo 2^64 from 1,024 letters on."""
+    for size in (60, 64, 65, 1024, 2048):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        (w,) = V.words(pa.array([f"{word} {other} {word.upper()}"]), True)
+        assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2]
+        (w,) = V.words(pa.array([f"{word} {word.upper()}"]), False)
+        assert w.hash[0] != w.hash[1]
+
+
 def test_sliced_and_binary_columns():
     col = pa.array(["zz", "a b", None, "c"]).slice(1)
     assert [w.doc.tolist() for w in V.words(col, False)] == [[0, 0, 2]]
