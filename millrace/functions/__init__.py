@@ -20,18 +20,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 @dataclass(frozen=True)
 class arrow:  # noqa: N801
-    """f(batch) -> batch or batches, with the schema of the result."""
+    """f(batch) -> batch or batches, with the schema of the result; in filter a boolean array, without a schema."""
 
-    f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]
-    schema: str | T.StructType
+    f: Callable[[pa.RecordBatch], Any]
+    schema: str | T.StructType = ""
 
 
 @dataclass(frozen=True)
 class python:  # noqa: N801
-    """f(row as dict) -> value, dict or, in flat_map, an iterable of them."""
+    """f(row as dict) -> value, dict or, in flat_map, an iterable of them; in filter a truth value, without a schema."""
 
     f: Callable[[dict], Any]
-    schema: str | T.StructType
+    schema: str | T.StructType = ""
 
 
 def as_schema(schema: str | T.StructType) -> T.StructType:

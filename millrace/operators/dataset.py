@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-import random
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrow, as_schema, python, run_arrow, run_python
-from .aggregators import COLLECT, SUM, Declarative, General
+from .aggregators import COLLECT, SUM, Arrow, Declarative, General
 from .partitioners import Hash, Partitioner, Range
 
-#: Rows that sort() takes to place its dividers: from a partition at most, and about so many in all.
-SORT_SAMPLE, SORT_SAMPLE_ALL = 1000, 200_000
+#: Rows by which dividers of columns without quantile summaries are placed, about.
+SORT_SAMPLE_ALL = 200_000
 
 
 def _named(c: Column, name: str | None) -> Column:
@@ -80,11 +79,21 @@ class Dataset:
             return self.flat_map(type(f)(lambda x, g=f.f: g(state, x), f.schema), name)
         return self.flat_map(lambda *c: f(state, *c), name)
 
-    def filter(self, f: Callable[..., Column]) -> Dataset:
-        """Null counts as false."""
+    def filter(self, f: Callable[..., Column] | arrow | python) -> Dataset:
+        """Null counts as false. arrow(f): a batch to a boolean array; python(f): a row as dict to a truth value."""
+        if isinstance(f, (arrow, python)):
+            row, g = isinstance(f, python), f.f
+
+            def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield b.filter(pa.array([bool(g(x)) for x in b.to_pylist()], pa.bool_()) if row else g(b))
+
+            return Dataset(self.df.mapInArrow(go, self.df.schema))
         return Dataset(self.df.filter(f(*(F.col(c) for c in self.df.columns))))
 
-    def filter_with_state(self, state: Any, f: Callable[..., Column]) -> Dataset:
+    def filter_with_state(self, state: Any, f: Callable[..., Any]) -> Dataset:
+        if isinstance(f, (arrow, python)):
+            return self.filter(type(f)(lambda x, g=f.f: g(state, x), f.schema))
         return self.filter(lambda *c: f(state, *c))
 
     # one partition at a time
@@ -103,26 +112,29 @@ class Dataset:
     def sample(self, amount: int, seed: int = 0) -> Dataset:
         """Exactly min(amount, rows) rows of each partition without replacement, uniform and repeatable for a seed.
 
-        A reservoir of `amount` rows a task; nothing is shuffled. Rows keep their order.
+        Each row gets a random key, and a task keeps the rows of the `amount` largest so far; nothing is shuffled. Rows keep
+        their order.
         """
+        if amount < 0:
+            raise ValueError("a sample has no fewer than 0 rows")
         schema = self.df.schema
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rng = random.Random(seed * 1_000_003 + TaskContext.get().partitionId())
-            kept: list[tuple[float, int, pa.RecordBatch]] = []
-            n = 0
+            rng = np.random.default_rng([seed % 2**64, TaskContext.get().partitionId()])
+            kept, keys = None, np.zeros(0)
             for b in batches:
-                for i in range(b.num_rows):
-                    x = rng.random()
-                    if len(kept) < amount:
-                        heapq.heappush(kept, (x, n, b.slice(i, 1)))
-                    elif kept and x > kept[0][0]:
-                        heapq.heapreplace(kept, (x, n, b.slice(i, 1)))
-                    n += 1
-                # slices must not keep whole batches alive
-                kept = [(x, k, pa.RecordBatch.from_pylist(r.to_pylist(), schema=r.schema)) for x, k, r in kept] if amount <= 1000 else kept
-            for _, _, r in sorted(kept, key=lambda k: k[1]):
-                yield r
+                new = rng.random(b.num_rows)
+                if len(keys) == amount:  # most batches add few rows
+                    at = np.flatnonzero(new > keys.min()) if amount else np.zeros(0, np.int64)
+                    b, new = b.take(pa.array(at)), new[at]
+                if not b.num_rows:
+                    continue
+                both = pa.Table.from_batches([b] if kept is None else [*kept.to_batches(), b])
+                keys = np.concatenate([keys, new])
+                best = np.sort(np.argpartition(-keys, amount - 1)[:amount]) if len(keys) > amount else np.arange(len(keys))
+                kept, keys = both.take(pa.array(best)), keys[best]
+            if kept is not None:
+                yield from kept.to_batches()
 
         return Dataset(self.df.mapInArrow(go, schema))
 
@@ -134,7 +146,7 @@ class Dataset:
 
     # keyed
 
-    def shuffle(self, key: str | Sequence[str], value: str, aggregator: Declarative | General, partitioner: Partitioner | None = None, out: str | None = None) -> Dataset:
+    def shuffle(self, key: str | Sequence[str], value: str, aggregator: Declarative | General | Arrow, partitioner: Partitioner | None = None, out: str | None = None) -> Dataset:
         """Aggregates value by key; with a partitioner the result is placed by it, in that many partitions."""
         keys = [key] if isinstance(key, str) else list(key)
         df = aggregator.apply(self.df, keys, value, out or value)
@@ -205,21 +217,40 @@ class Dataset:
         """One exchange and no grouping; every row stays."""
         return Dataset(partitioner.place(self.df, keys or tuple(self.df.columns)))
 
-    def sort(self, *keys: str, partitions: int | None = None) -> Dataset:
-        """Total ascending order. With `partitions` there are exactly so many, whatever the data: dividers are quantiles
-        of the first key from a sample of bounded size, and rows equal to a divider are in the partition it ends."""
-        keys = keys or tuple(self.df.columns)
-        if partitions is None:
-            return Dataset(self.df.orderBy(*keys))
+    def dividers(self, key: str, partitions: int) -> Range:
+        """A Range of exactly so many partitions, by approximate quantiles of a column; nulls aren't counted.
+
+        Numbers, dates and timestamps: quantile summaries that tasks make and Spark merges, in one pass. Other types: about
+        SORT_SAMPLE_ALL rows, chosen by a hash once rows have been counted.
+        """
         if partitions < 1:
             raise ValueError("sort needs one partition at least")
-        each = max(1, min(SORT_SAMPLE, SORT_SAMPLE_ALL // max(1, self.df.rdd.getNumPartitions()))) if partitions > 1 else 1
-        pick = Dataset(self.df.select(keys[0]).where(F.col(keys[0]).isNotNull())).sample(each).df.agg(F.sort_array(F.collect_list(keys[0])).alias("s")) if partitions > 1 else None
-        got = pick.select(F.transform(F.sequence(F.lit(1), F.lit(partitions - 1)), lambda k: F.try_element_at("s", (F.floor(k * F.size("s") / partitions) + 1).cast("int"))).alias("d")).first()["d"] if pick is not None else []
-        dividers = tuple(d for d in got if d is not None)
-        r = Range(dividers + (dividers[-1:] or (None,)) * (partitions - 1 - len(dividers)) if dividers else ())
-        placed = self.df.repartitionById(partitions, r.bucket(F.col(keys[0])).cast("int"))
-        return Dataset(placed.sortWithinPartitions(*keys))
+        if partitions == 1:
+            return Range(())
+        known = self.df.select(key).where(F.col(key).isNotNull())
+        shares = [i / partitions for i in range(1, partitions)]
+        if isinstance(self.df.schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            got = known.agg(F.percentile_approx(key, shares, max(10_000, 20 * partitions))).first()[0] or []
+        else:
+            share = SORT_SAMPLE_ALL / max(1, known.count())
+            if share < 1:
+                known = known.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
+            rows = sorted(r[0] for r in known.collect())
+            got = [rows[min(len(rows) - 1, int(len(rows) * x))] for x in shares] if rows else []
+        return Range(tuple(got) or (None,) * (partitions - 1))
+
+    def sort(self, *keys: str, partitions: int | Range | None = None, descending: bool = False) -> Dataset:
+        """Total order by the keys, all ascending with nulls first or all descending with nulls last. With `partitions` there
+        are exactly so many, whatever the data: rows are placed by the first key, and those equal to a divider are in the
+        partition that it ends (begins, if descending). A Range from dividers() is taken as it is."""
+        keys = keys or tuple(self.df.columns)
+        order = [F.desc_nulls_last(k) if descending else F.asc_nulls_first(k) for k in keys]
+        if partitions is None:
+            return Dataset(self.df.orderBy(*order))
+        r = partitions if isinstance(partitions, Range) else self.dividers(keys[0], partitions)
+        bucket = r.bucket(F.col(keys[0])).cast("int")
+        placed = self.df.repartitionById(r.partitions, F.lit(r.partitions - 1) - bucket if descending else bucket)
+        return Dataset(placed.sortWithinPartitions(*order))
 
     # actions
 

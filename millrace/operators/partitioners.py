@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -64,8 +65,12 @@ class Range(Partitioner):
         """The number of dividers below the key; nulls come first."""
         if not self.dividers:
             return F.lit(0)
-        array = F.array(*(F.lit(d) for d in self.dividers))
-        return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(array, lambda d: d < key)))
+        below = lambda xs: F.size(F.filter(xs, lambda d: d < key))
+        every = F.array(*(F.lit(d) for d in self.dividers))
+        # among n dividers first the run of about sqrt(n), by the last of each run, then the place in it
+        run = max(1, math.isqrt(len(self.dividers)))
+        runs = below(F.array(*(F.lit(d) for d in self.dividers[run - 1 :: run])))
+        return F.when(key.isNull(), F.lit(0)).otherwise(runs * run + below(F.slice(every, runs * run + 1, F.lit(run))))
 
     def place(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         (key,) = keys

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lines_of, saturating_unsigned, words_on
-from ..operators.aggregators import COUNT, Declarative, General
+from ..functions import arrow, lines_of, python, saturating_unsigned, words_on
+from ..operators.aggregators import COUNT, MAX, MEAN, MIN, Arrow, Declarative, General
 from ..operators.dataset import Dataset, read_partitions_from
 from ..operators.partitioners import ById, Hash, Range
 
@@ -125,8 +129,10 @@ def join_cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[Dataset, Dataset]:
-    c = load(spark, sf_dir, "customer", "c_custkey", "c_name").filter(lambda k, n: k % 3 != 0).map(lambda k, n: {"k": k, "l": n})
-    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice").filter(lambda k, v, p: (k % 2 == 0) & (p > 150_000)).map(lambda k, v, p: {"k": k, "r": v})
+    """Two whole tables whose keys meet in part: every order's customer counts twice, so odd customers have no order, and
+    orders of the upper half have no customer."""
+    c = load(spark, sf_dir, "customer", "c_custkey", "c_name").map(lambda k, n: {"k": k, "l": n})
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_orderkey").map(lambda k, v: {"k": k * 2, "r": v})
     return c, o
 
 
@@ -156,6 +162,88 @@ def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, "k", "left_anti").df
 
 
+def right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _sides(spark, sf_dir)
+    return c.join(o, "k", "right").df
+
+
+def min_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").shuffle("o_custkey", "o_totalprice", MIN, out="low").df
+
+
+def max_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").shuffle("o_custkey", "o_totalprice", MAX, out="high").df
+
+
+def mean_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber").shuffle("l_suppkey", "l_linenumber", MEAN, out="m").df
+
+
+def group_by_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in no order that is kept; sorted afterwards, to compare them."""
+    g = load(spark, sf_dir, "customer", "c_nationkey", "c_custkey").group_by("c_nationkey", "c_custkey", out="ks")
+    return g.map(lambda k, ks: {"c_nationkey": k, "ks": F.sort_array(ks)}).df
+
+
+def _tripled(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.record_batch([b.column(0), pa.compute.multiply(b.column(1), 3.0)], ["l_orderkey", "q3"])
+
+
+def map_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").map(arrow(_tripled, "l_orderkey bigint, q3 double")).df
+
+
+def map_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer", "c_custkey", "c_name").map(python(lambda r: {"k": r["c_custkey"] * 2, "n": len(r["c_name"])}, "k bigint, n int")).df
+
+
+def flat_map_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation", "n_nationkey", "n_name").flat_map(python(lambda r: [(r["n_nationkey"], c) for c in sorted(set(r["n_name"]))], "k int, c string")).df
+
+
+def filter_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").filter(arrow(lambda b: pa.compute.greater(b.column("o_totalprice"), 200_000.0))).df
+
+
+def filter_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").filter_with_state("BUILDING", python(lambda s, r: r["c_mktsegment"] == s)).df
+
+
+def _low_high(t: pa.Table) -> pa.Table:
+    g = t.group_by("o_custkey").aggregate([("o_totalprice", "min"), ("o_totalprice", "max")])
+    pair = pa.StructArray.from_arrays([g.column(c).combine_chunks() for c in ("o_totalprice_min", "o_totalprice_max")], ["low", "high"])
+    return pa.table({"o_custkey": g.column("o_custkey"), "o_totalprice": pair})
+
+
+def _low_high_merged(t: pa.Table) -> pa.Table:
+    x = t.column("o_totalprice").combine_chunks()
+    g = pa.table({"o_custkey": t.column("o_custkey"), "low": x.field("low"), "high": x.field("high")}).group_by("o_custkey").aggregate([("low", "min"), ("high", "max")])
+    pair = pa.StructArray.from_arrays([g.column(c).combine_chunks() for c in ("low_min", "high_max")], ["low", "high"])
+    return pa.table({"o_custkey": g.column("o_custkey"), "o_totalprice": pair})
+
+
+def _spread(t: pa.Table) -> pa.Table:
+    x = t.column("o_totalprice").combine_chunks()
+    return pa.table({"o_custkey": t.column("o_custkey"), "o_totalprice": pa.compute.subtract(x.field("high"), x.field("low"))})
+
+
+def shuffle_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of prices by customer, combined in tasks before one exchange."""
+    spread = Arrow("struct<low:double,high:double>", _low_high, _low_high_merged, _spread, "double")
+    return load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").shuffle("o_custkey", "o_totalprice", spread, out="spread").df
+
+
+def sort_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, which have no quantile summaries, in descending order over four partitions."""
+    return _positions(load(spark, sf_dir, "customer", "c_name"), 4, True)
+
+
+def collect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """collect() on the driver, and a Dataset from what it gave."""
+    rows = [tuple(r) for r in load(spark, sf_dir, "region", "r_regionkey", "r_name").collect()]
+    return Dataset.new_from_list(spark, [rows], "r_regionkey int, r_name string").df
+
+
 def distinct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_type").distinct().df
 
@@ -182,15 +270,22 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").top(25, F.desc("o_totalprice"), "o_orderkey").df
 
 
+def _positions(rows: Dataset, n: int, descending: bool) -> DataFrame:
+    """Rows in total order over n partitions, with their position. Sizes of partitions are counts of buckets before the
+    exchange, so the sort runs once and no task has all rows."""
+    key = rows.df.columns[0]
+    placed = rows.dividers(key, n)
+    sizes = {r["p"]: r["count"] for r in rows.df.groupBy(placed.bucket(F.col(key)).alias("p")).count().collect()}  # n rows
+    sizes = [sizes.get(n - 1 - p if descending else p, 0) for p in range(n)]
+    starts = F.create_map(*(F.lit(x) for p in range(n) for x in (p, sum(sizes[:p]))))
+    d = rows.sort(*rows.df.columns, partitions=placed, descending=descending).df
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return d.withColumn("p", F.spark_partition_id()).withColumn("i", place).withColumn("pos", (starts[F.col("p")] + F.col("i") + 1).cast("bigint")).drop("p", "i")
+
+
 def sort_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total order over a fixed number of partitions; the position is made from partition sizes and places within them,
-    without gathering all rows in one task."""
-    d = load(spark, sf_dir, "orders", "o_totalprice", "o_orderkey").sort("o_totalprice", "o_orderkey", partitions=8).df
-    d = d.select("o_orderkey", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    d = d.withColumn("i", F.col("i").bitwiseAND((1 << 33) - 1))
-    sizes = {r["p"]: r["n"] for r in d.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    starts = F.create_map(*(F.lit(x) for p in range(8) for x in (p, sum(sizes.get(q, 0) for q in range(p)))))
-    return d.select("o_orderkey", (starts[F.col("p")] + F.col("i") + 1).cast("bigint").alias("pos"))
+    """Total order over a fixed number of partitions."""
+    return _positions(load(spark, sf_dir, "orders", "o_totalprice", "o_orderkey"), 8, False).select("o_orderkey", "pos")
 
 
 def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,12 +303,56 @@ def partition_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.map(lambda q: {"p": F.spark_partition_id(), "n": F.lit(1).cast("bigint")}).sum_by_key("p", "n").df
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; only where that is unset a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _fields(d: Dataset, **kinds: str) -> Dataset:
+    """Lines of numbered files with fields between commas as columns."""
+    lines = d.map(lambda i, p, c: {"t": c.cast("string")}).flat_map(lines_of, "l").filter(lambda line: line != "")
+    return lines.map(lambda line: {n: F.split_part(line, F.lit(","), F.lit(k)).cast(t) for k, (n, t) in enumerate(kinds.items(), 1)})
+
+
 def save_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.removeprefix('file://').rstrip('/')}/partfiles-{spark.sparkContext.applicationId}"
+    path = _scratch(spark, "nations")
     load(spark, sf_dir, "nation", "n_nationkey", "n_name").partition_by(ById(4, lambda k: k % 3), "n_nationkey").save(path)
-    lines = read_partitions_from(spark, path, 4).map(lambda i, p, c: {"t": c.cast("string")}).flat_map(lines_of, "l").filter(lambda line: line != "")
-    return lines.map(lambda line: {"n_nationkey": F.split_part(line, F.lit(","), F.lit(1)).cast("int"), "n_name": F.split_part(line, F.lit(","), F.lit(2))}).df
+    return _fields(read_partitions_from(spark, path, 4), n_nationkey="int", n_name="string").df
+
+
+def _as_json(rows: list[dict]) -> bytes:
+    return json.dumps(rows).encode()
+
+
+def save_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A serialiser of one's own: each file is one JSON list."""
+    path = _scratch(spark, "suppliers")
+    load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").partition_by(Hash(3), "s_suppkey").save(path, _as_json)
+    read = read_partitions_from(spark, path, 3)
+    return read.flat_map(lambda i, p, c: F.from_json(c.cast("string"), "array<struct<s_suppkey:bigint,s_nationkey:int>>")).df
+
+
+def sort_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress 5 over numbered files: integers from ten files, sorted into ten, read again with their file and line."""
+    source, target = _scratch(spark, "integers"), _scratch(spark, "sorted")
+    load(spark, sf_dir, "orders", "o_custkey").partition_by(ById(10, lambda k: k % 10), "o_custkey").save(source)
+    _fields(read_partitions_from(spark, source, 10), n="int").sort("n", partitions=10).save(target)
+    files = read_partitions_from(spark, target, 10).df.select("id", F.posexplode(F.filter(lines_of(F.col("content").cast("string")), lambda x: x != "")).alias("line", "n"))
+    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.groupBy("id").agg(F.count("*").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))  # ten rows
+    return files.join(sizes, "id").select((F.col("start") + F.col("line") + 1).alias("pos"), F.col("n").cast("int").alias("n"))
+
+
+def change_tracking_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress 4 over numbered files: two snapshots of ten files each."""
+    first, second = _scratch(spark, "january"), _scratch(spark, "february")
+    people = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    people.partition_by(ById(10, lambda k: k % 10), "c_custkey").save(first)
+    people.map(lambda k, s: {"c_custkey": k, "city": F.when(k % 3 == 0, "MOVED").otherwise(s)}).partition_by(ById(10, lambda k: k % 10), "c_custkey").save(second)
+    a = _fields(read_partitions_from(spark, first, 10), id="bigint", a="string")
+    b = _fields(read_partitions_from(spark, second, 10), id="bigint", b="string")
+    return a.join(b, "id").flat_map(lambda i, x, y: F.transform(F.when(x != y, F.array(x, y)).otherwise(F.array(x)), lambda c: F.struct(i.alias("id"), c.alias("city")))).df
 
 
 def repeat_and_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,13 +367,18 @@ def many_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress 2: ten rounds of map, filter, key and union; one plan, whose partitions don't multiply."""
+    """Stress 2: ten rounds of map, filter, key and union. Each round reads what came before in both of its branches, so a
+    plan has 2^n of them after n rounds; after five it is written and read again. Partitions don't multiply."""
     d = load(spark, sf_dir, "events", "event_id").map(lambda i: {"event_id": i, "x": (i % 1000).cast("bigint")})
     for r in range(10):
         a = d.filter(lambda i, x, r=r: (x + r) % 3 == 0).map(lambda i, x, r=r: {"event_id": i, "x": (x * 2 + r) % 1000})
         b = d.filter(lambda i, x, r=r: (x + r) % 3 != 0).map(lambda i, x, r=r: {"event_id": i, "x": (x + 1) % 1000})
-        # one narrow pass instead of a union of two scans of all that came before
-        d = d.map(lambda i, x, r=r: {"event_id": i, "x": F.when((x + r) % 3 == 0, (x * 2 + r) % 1000).otherwise((x + 1) % 1000)}) if r else a.union(b)
+        d = a.union(b)
+        if r == 4:
+            path = f"file://{_scratch(spark, 'rounds')}" if "://" not in (spark.conf.get("spark.checkpoint.dir", None) or "") else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/rounds-{uuid.uuid4().hex}"
+            d.df.coalesce(max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
+            d = Dataset(spark.read.schema(d.df.schema).parquet(path))
+    d = Dataset(d.df.coalesce(max(1, spark.sparkContext.defaultParallelism)))
     return d.map(lambda i, x: {"x": x, "n": F.lit(1).cast("bigint")}).sum_by_key("x", "n").df
 
 
@@ -250,11 +394,12 @@ QUERIES = {f.__name__: f for f in (
     nation_order_totals, new_from_list, map_triple_qty, map_with_state, filter_qty, filter_with_state, flat_map_repeat, flat_map_with_state,
     map_partitions_sum, map_partitions_with_state, union_nationkeys, word_count, sum_by_key_events, sum_by_key_qty, shuffle_mean, shuffle_general,
     group_by_orders, join_cust_orders, cogroup_cust_orders, left_outer, full_outer, semi, anti, distinct_types, intersect_keys, subtract_keys,
-    count_by_key, global_reduce, top_orders, sort_price, sample_size, partition_by_id, partition_by_range, save_roundtrip,
+    count_by_key, right_outer, min_by_key, max_by_key, mean_by_key, group_by_unordered, map_arrow, map_python, flat_map_python,
+    filter_arrow, filter_python, shuffle_arrow, sort_descending, collect_rows, save_custom, sort_files, change_tracking_files, global_reduce, top_orders, sort_price, sample_size, partition_by_id, partition_by_range, save_roundtrip,
     repeat_and_sum, many_step, many_rounds, change_tracking)}
 
-_SIDES = """with c as (select c_custkey as k, c_name as l from customer where c_custkey % 3 <> 0),
-o as (select o_custkey as k, o_orderkey as r from orders where o_custkey % 2 = 0 and o_totalprice > 150000) """
+_SIDES = """with c as (select c_custkey as k, c_name as l from customer),
+o as (select o_custkey * 2 as k, o_orderkey as r from orders) """
 
 _ROUNDS = "select event_id, event_id % 1000 as x from events"
 for _r in range(10):
@@ -283,6 +428,23 @@ ORACLE_SQL = {
       from (select k, list_sort(list(l)) as l from c group by 1) a full join (select k, list_sort(list(r)) as r from o group by 1) b on a.k = b.k""",
     "left_outer": _SIDES + "select c.k, l, r from c left join o on c.k = o.k",
     "full_outer": _SIDES + "select coalesce(c.k, o.k) as k, l, r from c full join o on c.k = o.k",
+    "right_outer": _SIDES + "select o.k, l, r from c right join o on c.k = o.k",
+    "min_by_key": "select o_custkey, min(o_totalprice) as low from orders group by 1",
+    "max_by_key": "select o_custkey, max(o_totalprice) as high from orders group by 1",
+    "mean_by_key": "select l_suppkey, avg(l_linenumber) as m from lineitem group by 1",
+    "group_by_unordered": "select c_nationkey, list_sort(list(c_custkey)) as ks from customer group by 1",
+    "map_arrow": "select l_orderkey, l_quantity * 3 as q3 from lineitem",
+    "map_python": "select c_custkey * 2 as k, length(c_name)::int as n from customer",
+    "flat_map_python": "select distinct n_nationkey as k, unnest(string_split(n_name, '')) as c from nation",
+    "filter_arrow": "select o_orderkey, o_totalprice from orders where o_totalprice > 200000",
+    "filter_python": "select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'",
+    "shuffle_arrow": "select o_custkey, max(o_totalprice) - min(o_totalprice) as spread from orders group by 1",
+    "sort_descending": "select c_name, row_number() over (order by c_name desc) as pos from customer",
+    "collect_rows": "select r_regionkey, r_name from region",
+    "save_custom": "select s_suppkey, s_nationkey from supplier",
+    "sort_files": "select row_number() over (order by o_custkey) as pos, o_custkey::int as n from orders",
+    "change_tracking_files": """with j as (select c_custkey as id, c_mktsegment as a, case when c_custkey % 3 = 0 then 'MOVED' else c_mktsegment end as b from customer)
+      select id, a as city from j union all select id, b from j where a <> b""",
     "semi": _SIDES + "select k, l from c where exists (select 1 from o where o.k = c.k)",
     "anti": _SIDES + "select k, l from c where not exists (select 1 from o where o.k = c.k)",
     "distinct_types": "select distinct event_type from events",
