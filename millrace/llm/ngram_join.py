@@ -281,11 +281,44 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
         yield out()
 
 
+def _promising(num: int, den: int):
+    """Of rows sorted by (key, i, j), each group of which is one or two blocks, those with a partner of another component
+    that sizes and what follows the key in both allow."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, cuts in _whole_groups(batches, ("key", "i", "j")):
+            comp, n, pos, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n", "pos", "side", "same"))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            rest = n - pos
+            keep = np.zeros(len(n), bool)
+            width = np.diff(cuts)
+            for k in np.flatnonzero(width > LEAF):
+                a, e = int(cuts[k]), int(cuts[k + 1])
+                for lo in range(a, e, BLOCK):
+                    hi = min(lo + BLOCK, e)
+                    keep[lo:hi] = fits(comp, n, rest, side, same, np.arange(lo, hi)[:, None], np.arange(a, e)).any(1)
+            of, end = np.repeat(width, width), np.repeat(cuts[1:], width)
+            for d in range(1, min(LEAF, int(width.max()))):
+                x = np.flatnonzero((of <= LEAF) & (np.arange(len(of)) + d < end))
+                x = x[fits(comp, n, rest, side, same, x, x + d)]
+                keep[x] = keep[x + d] = True
+            yield g.filter(pa.array(keep))
+
+    def fits(comp, n, rest, side, same, x, y) -> np.ndarray:  # noqa: ANN001
+        return (
+            (comp[x] != comp[y]) & (same[x] | (side[x] != side[y]))
+            & (np.minimum(rest[x], rest[y]) * (num + den) >= num * (n[x] + n[y])) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num))
+
+    return run
+
+
 def _shards(num: int, den: int):
     """Pairs (a, b) of different components from rows sorted by (key, i, j), each group of which is one or two blocks."""
 
     def join(g: pa.RecordBatch, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, comp, n, pos, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "pos", "side", "same"))
+        n = n.astype(np.int64)
         rest = n - pos  # members from this key on
         vec: dict[int, np.ndarray] = {}
         point = lambda i: vec[i] if i in vec else vec.setdefault(i, np.frombuffer(g.column("vec")[i].as_py(), np.uint8))
@@ -466,7 +499,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
     p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
-    rows = p.where("node is not null").select("node", F.posexplode("keys").alias("pos", "key"))
+    rows = p.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
     # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
     # execution can split where a key is hot
     shared = stored(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared")
@@ -505,7 +538,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     links, sets = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
-    m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "pos", F.coalesce("component", "node").alias("comp")), "placed")
+    m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "placed")
     parts = stored(m.groupBy("key", "comp").agg(F.count("*").alias("c")), "parts")
     open_keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     large = F.col("c") > BLOCK
@@ -516,13 +549,17 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     m = m.join(open_keys.drop("c"), "key")
     main = F.col("comp").eqNullSafe(F.col("main"))
     m = _dealt(m, F.when(main, F.col("blocks") + _side(F.col("main_blocks"))).otherwise(_side(F.col("blocks"))), F.when(main, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")))
+    # by sizes and positions first: counts and keys of a node travel only where it may have a partner
+    block = ("key", "i", "j")
+    grouped = lambda df, rows: df.repartition(pieces(spark, rows, 64 * BLOCK), *block).sortWithinPartitions(*block)
+    m = grouped(m.select(*block, "same", "side", "node", "comp", "n", "pos"), dealt)
+    m = stored(m.mapInArrow(_promising(num, den), m.schema), "promising")
     earlier = F.filter("own", lambda x: x < F.col("key"))
-    m = m.join(own, "node").select("key", "i", "j", "same", "side", "node", "comp", "pos", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - BEFORE + 1), BEFORE).alias("before"))
-    m = m.join(node.select("node", "n", "vec"), "node")
-    tasks = pieces(spark, dealt, 64 * BLOCK)
-    pairs = m.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
+    full = m.join(own, "node").withColumn("before", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - BEFORE + 1), BEFORE)).drop("own")
+    full = full.join(node.select("node", "vec"), "node")
+    pairs = grouped(full, m.count()).mapInArrow(_shards(num, den), "a bigint, b bigint").distinct()
     more, more_sets = verified(pairs)
-    dropped(members, leader, stars, comp, parts, open_keys, own)
+    dropped(members, leader, stars, comp, parts, open_keys, own, m)
     every_link = stored(links.union(more), "links")
     comp = stored(components(every_link), "components")
     # every node of a link had its set fetched
