@@ -83,17 +83,22 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Ids that are broadcast at most, 8 bytes each and about four times that as a hash table.
-BROADCAST_IDS = 500_000
+#: Row keys that are broadcast at most, 8 bytes each and about four times that as a hash table.
+BROADCAST_ROWS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key isn't among ids, unchanged; rows without a key stay. A list of ids that was counted and
+def row_key(key: str, text: str) -> Column:
+    """64 bits that tell rows of one id with different texts apart, and rows without an id."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def among(docs: DataFrame, rows: DataFrame, key: str, text: str, how: str = "left_anti") -> DataFrame:
+    """The rows of docs whose row_key isn't (or, with left_semi, is) a `row` of rows, unchanged. A list that was counted and
     is short is broadcast, so that texts stay where they are; a longer one meets them in a shuffle."""
-    ids = stored(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_anti").select(docs.columns)
+    rows = stored(rows.select(F.col("row").alias("__row")).distinct(), "rows")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, row_key(key, text) == F.col("__row"), how)
 
 
 def ascii_lower(c: Column) -> Column:

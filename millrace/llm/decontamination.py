@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, tidy, without
+from .common import among, row_key, stored, table, tidy
 from .vectext import Words, inside, ints, joined, words
 
 U = np.uint64
@@ -206,8 +206,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without contaminated documents; columns and other rows, also those without an id, stay as they are."""
-    return without(docs, contaminated(docs, benchmark, key, text), key)
+    """docs without contaminated rows; each row is judged by its own text, whatever id it shares or lacks."""
+    keyed = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
+    return among(docs, contaminated(keyed, benchmark, "row", "text"), key, text)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, pieces, stored, table, tidy
+from .common import among, dropped, pieces, row_key, stored, table, tidy
 from .components import components
 from .vectext import Words, ints, mix, windows, words
 
@@ -135,7 +135,7 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _profiles(k: int, num: int, den: int, levels):
-    """Rows (id, node, n, score, vec, fine, keys) of documents; empty ones have a null node."""
+    """Rows (id, row, node, n, score, vec, fine, keys) of documents; empty ones have a null node."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +157,9 @@ def _profiles(k: int, num: int, den: int, levels):
                 vec = [folded(c, groups_for(int(m))).tobytes() for c, m in zip(every, n, strict=True)]
                 fine = [c.tobytes() for c in every]
                 yield pa.record_batch([
-                    b.column(0).slice(w.row, w.rows), pa.array(node.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(score),
+                    b.column(0).slice(w.row, w.rows), b.column(2).slice(w.row, w.rows), pa.array(node.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(score),
                     pa.array(vec, pa.binary()), pa.array(fine, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ints(keys))], ["id", "node", "n", "score", "vec", "fine", "keys"])
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ints(keys))], ["id", "row", "node", "n", "score", "vec", "fine", "keys"])
 
     return run
 
@@ -485,7 +485,7 @@ def _side(blocks: Column) -> Column:
 
 
 class Joined(NamedTuple):
-    nodes: DataFrame  # (id, node, n)
+    nodes: DataFrame  # (id, row, node, n)
     links: DataFrame  # (a, b), enough to connect each component; all links of a component of two
     components: DataFrame  # (node, component)
     sets: DataFrame  # (node, members) of every node in a component
@@ -498,7 +498,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
         raise ValueError("similarity is num / den, above 0 and up to 1")
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
-    p = stored(docs.select("id", "text").mapInArrow(_profiles(k, num, den, levels), "id bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
+    p = stored(docs.select("id", "text", row_key("id", "text").alias("row")).mapInArrow(_profiles(k, num, den, levels), "id bigint, row bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
     rows = p.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
     # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
     # execution can split where a key is hot
@@ -510,7 +510,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     members = stored(every.join(alike, "key"), "members")
     found = members.select("node").distinct()
     node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "nodes")
-    ids = stored(p.select("id", "node", "n"), "ids")
+    ids = stored(p.select("id", "row", "node", "n"), "ids")
     dropped(p, shared, every, alike)
     point = lambda c, v: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
     bounded = lambda pairs, v: pairs.join(point("a", v), "a").join(point("b", v), "b").mapInArrow(_bounded(num, den), "a bigint, b bigint")
@@ -596,7 +596,7 @@ def links_of(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     """(nodes as (id, node, n), all links as (a, b), a < b, between nodes) of docs (id, text)."""
     j = joined(docs, k, num, den)
     links = stored(_pairs_of_two(j).union(_inner(j, num, den, _copies(j.nodes), True)), "all-links")
-    return j.nodes, links
+    return j.nodes.select("id", "node", "n"), links
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -619,6 +619,20 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str
     return out
 
 
+def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, but of each group that links connect one alone: that of the smallest id, of several with
+    that id the one with the least row_key, of those with equal texts any. Rows without words stay."""
+    j = joined(_documents(docs, key, text), k, num, den)
+    p = stored(j.nodes.where("node is not null").join(j.components, "node", "left").select("id", "row", F.coalesce("component", "node").alias("c")), "placed")
+    dropped(*j.scratch)
+    first = stored(p.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    kept = among(docs, p.join(first, "c").where("row <> first"), key, text)
+    again = stored(p.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").join(first.select(F.col("first").alias("row")), "row", "left_semi"), "again")
+    if again.isEmpty():
+        return kept
+    return among(kept, again, key, text).unionByName(among(kept, again, key, text, "left_semi").dropDuplicates([key, text]))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, n_links) of each row: as groups(), and how many other rows are linked with it,
     copies among them."""
