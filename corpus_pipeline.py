@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, ngram_join, secrets, toxicity
-from millrace.llm.common import crc_mod5, stored, table, without
+from millrace.llm.common import crc_mod5, stored, table
 
 #: Near duplicates: word n-grams and the similarity, in hundredths.
 SHINGLE, SIMILARITY = 5, 80
@@ -25,14 +25,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document with the smallest doc_id stays; documents without words, and those
-    without an id, are in no group."""
-    groups = ngram_join.groups(docs, SHINGLE, SIMILARITY, 100)
-    return without(docs, groups.where("component_id <> doc_id"), "doc_id")
+    """Of each group that links connect, the row with the smallest doc_id stays, and one row alone where an id repeats.
+    Documents without words are in no group; rows that share an id, or have none, are judged by their texts."""
+    return ngram_join.deduplicated(docs, SHINGLE, SIMILARITY, 100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go, each row by its own text."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
