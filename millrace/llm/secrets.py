@@ -4,13 +4,15 @@ Base rules, each leftmost and non-overlapping by itself; a match that is too sho
 assign (a credential's name, then = or :, then a value of 8 characters or more), access (AKIA, then upper-case letters
 and digits, 16 characters or more in all), hex (32 lower-case hexadecimal digits or more).
 
-The method adds spans of kind markov: runs of letters, digits, + / _ - and = of MIN_LENGTH characters or more, with a
-digit and a letter, that overlap no base span, whose mean log-likelihood ratio a character exceeds a threshold. One model
-holds transitions of random strings, the other those of ordinary identifiers; both are bigram models over character
-classes with begin and end, smoothed by one. They are trained on the driver from labelled samples: by default
-SAMPLE_ROWS generated random strings in several alphabets with a fixed seed, and as many identifiers joined from the
-words below; labelled strings of the caller can take their place. The threshold is the point between both classes'
-scores on the held-out fifth of the samples that errs least, at least 0.
+The method adds spans of kind markov: runs of letters, digits, + / _ - and = whose mean log-likelihood ratio a character
+exceeds a threshold. What base spans cover is cut out of a run first. A run is asked as a whole, and if it isn't taken, its
+parts between separators; runs and parts of fewer than MIN_LENGTH characters, of digits or separators alone, or in the form of
+a UUID (an identifier by its format) are passed over. One model holds transitions of random strings, the other those of
+ordinary identifiers; both are bigram models over printable ASCII characters with begin and end, smoothed by one. They
+are trained on the driver from labelled samples: by default SAMPLE_ROWS generated random strings in several alphabets
+with a fixed seed, and as many identifiers joined from the words below, or long words; labelled strings of the caller can
+take their place. The threshold is the point between both classes' scores on the held-out fifth of the samples that errs
+least, at least 0.
 
 Defined cases: null and empty texts have no span; texts are scanned whole; positions are code points, the end exclusive;
 equal rows give equal rows; a null id is kept; further columns are ignored.
@@ -18,7 +20,6 @@ equal rows give equal rows; a null id is kept; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -75,12 +76,12 @@ def labelled_samples(rows: int = SAMPLE_ROWS, seed: int = 5) -> tuple[list[str],
         parts = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))]
         if rng.random() < 0.5:
             parts.insert(rng.randint(1, len(parts)), str(rng.choice([rng.randint(0, 99), rng.randint(1990, 2039)])))
-        style = rng.randrange(5)
+        style = rng.randrange(6)
         if style == 1:
             parts = [p.upper() for p in parts]
         elif style == 2:
             parts = [parts[0], *(p.capitalize() for p in parts[1:])]
-        names.append({0: "_", 1: "_", 2: "", 3: "-", 4: "/"}[style].join(parts))
+        names.append({0: "_", 1: "_", 2: "", 3: "-", 4: "/", 5: ""}[style].join(parts))
     return strings, names
 
 
@@ -126,19 +127,45 @@ class Ratio:
         return (self.random.score(s) - self.ordinary.score(s)) / (len(s) + 1)
 
 
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_PART = re.compile(r"[A-Za-z0-9]{%d,}" % MIN_LENGTH)
+
+
 def markov_spans(text: str, ratio: Ratio, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that base spans, which are sorted, don't touch."""
     out = []
+
+    def asked(a: int, b: int) -> bool:
+        s = text[a:b]
+        if b - a < MIN_LENGTH or not any(c.isalpha() for c in s):
+            return False
+        return ratio.of(s) > ratio.threshold
+
     for m in CANDIDATE.finditer(text):
-        s, a, b = m[0], m.start(), m.end()
-        if not any(c.isdigit() for c in s) or s.isdigit() or any(x < b and a < y for x, _, y in base):
-            continue
-        if not any(c.isalpha() for c in s):
-            continue
-        if ratio.of(s) > ratio.threshold:
-            out.append((a, 3, b))
+        pieces, at = [], m.start()
+        for x, _, y in base if base else ():
+            if x < m.end() and at < y:
+                pieces.append((at, min(max(x, at), m.end())))
+                at = max(at, y)
+        pieces.append((at, m.end()))
+        for a, b in pieces:
+            # a UUID within a longer run, as prefix-uuid, is cut out like a base span
+            for u, v in _around_uuids(text, a, b):
+                if asked(u, v):
+                    out.append((u, 3, v))
+                else:
+                    out += [(p.start(), 3, p.end()) for p in _PART.finditer(text, u, v) if (p.start(), p.end()) != (u, v) and asked(p.start(), p.end())]
     return out
 
 
+def _around_uuids(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    for m in UUID.finditer(text, a, b):
+        yield a, m.start()
+        a = m.end()
+    if b > a:
+        yield a, b
+
+
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -217,7 +244,3 @@ def reference_spans(text: str | None) -> str:
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     return named(sorted(out))
-
-
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()

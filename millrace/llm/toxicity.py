@@ -3,7 +3,7 @@
 Lexicon. From at most TRAIN_ROWS labelled training rows (those whose id hashes lowest; the bound is the only sampling
 here): whole words and word beginnings of STEMS letters that toxic rows hold in at least LEAST different contexts (the
 words before and after; copies of one text have one context), at least RATIO times as often as clean ones hold it at all, and too
-often for chance (EVIDENCE nats). At most MOST_TERMS such terms, the most telling. The weight of a term is the logarithm
+often for chance (EVIDENCE nats). The weight of a term is the logarithm
 of that ratio, from 0 to 1 at FULL. Longer terms under a beginning have weights of their own, so ordinary words that
 begin like abuse are told apart.
 
@@ -11,8 +11,10 @@ Matching. Words of weight SURE and FUZZY_FROM letters go into a trie. A word of
 matched by its Levenshtein automaton of distance 1 intersected with the trie: a walk over both at once, in which branches
 of the trie that no word within the distance continues are left. Beginnings must agree exactly.
 
-Context. A hit weighs as its term, times FUZZY if misspelled, times QUOTED if it stands between
-quotation marks or a word of reporting is among the CUES near it. The best sum over WINDOW consecutive words tells a
+Context. A hit weighs as its term, times FUZZY if misspelled, times QUOTED if it is quoted or a word of reporting is among
+the CUES near it. A hit is quoted inside a pair of quotation marks: marks are paired from left to right within a
+paragraph, straight ones by turns, others with their counterparts; an apostrophe inside a word is none, and a mark
+without a counterpart quotes nothing. The best sum over WINDOW consecutive words tells a
 burst of abuse from a word here and there. A logistic regression on such features (no label, language, source or id
 among them), fitted on the training rows by Newton's method, gives a score from 0 to 1. Should the sample have no toxic
 or no clean row, all score 0.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -38,8 +41,6 @@ from pyspark.sql import functions as F
 from .common import crc_mod5, table, tidy
 
 TRAIN_ROWS = 10_000
-MOST_TERMS = 2_000
-CANDIDATES = 20_000
 LEAST, RATIO = 3, 6.0
 #: Of some 100,000 terms none should pass by chance: e^-14 is about 10^-6.
 EVIDENCE = 14.0
@@ -53,7 +54,9 @@ MEMO = 100_000
 TOKEN = re.compile(r"[^\W_]+")
 #: Words that report what others say, in the languages of the corpus.
 CUES = frozenset("said says wrote quoted quote called reported sagte schrieb zitat genannt dit écrit cité appelé dijo escribió cita llamó".split())
-_OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
+#: What closes a quotation that a mark opens.
+PAIRS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’"}
+_MARKS = re.compile("[\"“”„«»‘’‚\n]")
 
 
 class Lexicon:
@@ -80,10 +83,10 @@ class Lexicon:
         self.least, self.most = (min(sizes) - 1, max(sizes) + 1) if sizes else (1, 0)
         self.memo: dict[str, float] = {}
 
-    def fuzzy(self, word: str, k: int = 1) -> str | None:
-        """A word of the lexicon within k edits, the nearest first, or None. A state of the automaton of `word` is the
+    def fuzzy(self, word: str) -> str | None:
+        """A word of the lexicon within one edit, the nearest first, or None. A state of the automaton of `word` is the
         set of (letters read, edits made); it and a node of the trie step together."""
-        n = len(word)
+        n, k = len(word), 1
         best: tuple[int, str] | None = None
         start = frozenset((i, i) for i in range(min(k, n) + 1))
         stack = [(self.trie, start)]
@@ -136,6 +139,30 @@ class Lexicon:
         return {w: memo[w] for w in seen if memo[w] >= FAINT}
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between paired marks, outermost pairs alone, in order."""
+    out: list[tuple[int, int]] = []
+    open_at: list[tuple[int, str]] = []  # places and marks that wait for their counterparts
+    for m in _MARKS.finditer(text):
+        at, c = m.start(), m[0]
+        if c == "\n":
+            open_at.clear()
+            continue
+        if c in "‘’" and 0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum():
+            continue
+        k = next((k for k in range(len(open_at) - 1, -1, -1) if c in PAIRS[open_at[k][1]]), None)
+        if k is None:
+            if c in PAIRS:
+                open_at.append((at, c))
+            continue
+        start = open_at[k][0]
+        del open_at[k:]
+        while out and out[-1][0] > start:
+            out.pop()
+        out.append((start, at + 1))
+    return out
+
+
 FEATURES = 7
 
 
@@ -154,10 +181,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             exact += w >= SURE
             places.append((m.start(), m.end()))
     weights = []
+    quotes = quotations(low)
+    starts = [a for a, _ in quotes]
     for i, w, (a, e) in zip(at, raw, places, strict=True):
-        before, after = low[max(0, a - 80) : a], low[e : e + 80]
-        q = next((k for k, c in enumerate(reversed(before)) if c in _OPEN), None)
-        quoted = q is not None and any(c in _CLOSE for c in after) and "\n" not in before[len(before) - q :]
+        q = bisect_right(starts, a) - 1
+        quoted = q >= 0 and e <= quotes[q][1]
         cue = any(x in CUES for x in words[max(0, i - 6) : i + 7])
         weights.append(w * (QUOTED if quoted or cue else 1.0))
     burst, lo, run = 0.0, 0, 0.0
@@ -226,20 +254,19 @@ def evidence(n: int, clean: int, share: float) -> float:
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    """From (text, toxic): bounded rows in, at most CANDIDATES terms to the driver."""
-    schema = "term string, context string, toxic int"
+    """From (text, toxic): at most TRAIN_ROWS rows in, and terms that several toxic ones of them hold to the driver."""
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         return Lexicon({}, {})
     toxic = train.where("toxic = 1").select("text").mapInArrow(_contexts, "term string, context bigint").distinct()
-    top = toxic.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
+    top = toxic.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()
     clean = train.where("toxic = 0").select("text").mapInArrow(_occurrences(frozenset(r["term"] for r in top)), "term string, n bigint")
     clean_n = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.sum("n").alias("n")).collect()} if top else {}
     share = size[1] / (size[1] + size[0])
     clean_of = lambda t: clean_n.get(t, 0)
     known = {r["term"]: r["n"] for r in top}
     ratio = {t: (n + 0.5) / (clean_of(t) + 0.5) * size[0] / size[1] for t, n in known.items()}
-    strong = sorted((t for t, n in known.items() if ratio[t] >= RATIO and evidence(n, clean_of(t), share) >= EVIDENCE), key=lambda t: (-evidence(known[t], clean_of(t), share), t))[:MOST_TERMS]
+    strong = [t for t, n in known.items() if ratio[t] >= RATIO and evidence(n, clean_of(t), share) >= EVIDENCE]
     stems = {t[:-1] for t in strong if t.endswith("*")}
     # under a strong beginning, longer ones and words say more precisely what is meant, ordinary words of that beginning too
     kept = set(strong) | {t for t, n in known.items() if n + clean_of(t) >= ENOUGH and any(t[:k] in stems for k in STEMS if k < len(t.rstrip("*")))}

@@ -256,6 +256,11 @@ def test_quotation_weighs_less():
     bare, quoted, told = (toxicity.features(t, lex)[1] for t in ("you are a moron today", "you are a “moron” today", "she said he is a moron today"))
     assert bare > quoted and bare > told
     assert toxicity.features("you m0ron and morron", lex)[1] > 0
+    weight = lambda t: toxicity.features(t, lex)[1]
+    for plain in ('"hi". And you moron. Then "bye".', "it’s a moron, isn’t it’s", "“never closed, moron", '"a\nmoron"', "moron “x”", "”moron“"):
+        assert weight(plain) == bare, plain
+    for inside in ('he: "you moron!"', "„du moron“", "«un moron»", "»ein moron«", "‘what a moron, isn’t it’", "“he said «a moron» there”", '"a" b "moron"'):
+        assert weight(inside) == quoted, inside
     assert toxicity.features(None, lex) == toxicity.features("", lex) == toxicity.features("fine words", lex)
 
 
@@ -266,7 +271,12 @@ def test_toxicity_is_learnt(spark):
     assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in lab]
     assert sum(r.predicted == lab[r.doc_id] for r in held) / len(held) > 0.95
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (1, "x")], DOCS)
+    toxic = [r for r in held if lab[r.doc_id]]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.9  # recall
+    found = [r for r in held if r.predicted]
+    assert sum(lab[r.doc_id] for r in found) / len(found) > 0.9  # precision
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (1, "x")], DOCS).withColumn("score", F.lit("clash"))
+    assert toxicity.score(docs.limit(0), toxicity.Model(toxicity.Lexicon({}, {}), None)).count() == 0
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0] * 4
     assert toxicity.accepted(docs, model).count() == 4
@@ -297,6 +307,39 @@ def test_secrets_models_and_redaction(spark):
     assert got == [(1, "here [SECRET] there", 19), rows[1], (3, '[SECRET]" x', 11), rows[3]]
 
 
+def test_secrets_found_and_identifiers_left():
+    """Precision and recall of the method's own spans on planted strings that no base rule takes."""
+    rng = random.Random(11)
+    r = secrets.Ratio(*secrets.labelled_samples())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choices(letters + "0123456789", k=rng.randint(20, 40))) for _ in range(500)]
+    keys += ["".join(rng.choices(letters, k=24)) for _ in range(100)]
+    names = ["_".join(rng.choices(secrets.WORDS, k=5)) for _ in range(300)] + ["src/" + "/".join(rng.choices(secrets.WORDS, k=4)) + ".py" for _ in range(200)]
+    names += [f"{p}{str(__import__('uuid').UUID(int=rng.getrandbits(128)))}" for p in ("", "request-", "user_id=") for _ in range(50)]
+    names += ["Donaudampfschifffahrtsgesellschaft", "Bundesausbildungsförderungsgesetz", "anticonstitutionnellement", "electroencefalografista", "2024-01-01-2024-12-31-final", "0123456789" * 3]
+    spans = lambda t: secrets.markov_spans(t, r, secrets.base_spans(t))
+    caught = sum(spans(f"x {k} y") == [(2, 3, 2 + len(k))] for k in keys)
+    wrong = sum(bool(spans(f"x {n} y")) for n in names)
+    assert caught >= 0.97 * len(keys) and wrong <= 0.02 * len(names)
+    long = "/".join(rng.choices(secrets.WORDS, k=12))
+    assert [long_key in f"{long}/{keys[0]}/{long}"[a:b] for a, _, b in spans(f"{long}/{keys[0]}/{long}") for long_key in (keys[0],)] == [True]
+    text = "token=abcdefgh AKIA" + "ABCDEFGH12345678" + "/" + keys[1]
+    assert [(k, text[a:b]) for a, k, b in spans(text)][-1][1].endswith(keys[1])
+
+
+def test_secrets_query(spark, tmp_path):
+    rows = [(1, 'token = "abcdefgh1234" x'), (2, None), (3, ""), (None, "AKIA" + "B" * 12), (4, "f" * 40)]
+    spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit("clash")).withColumn("base", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op5_secrets(spark, str(tmp_path)).collect()}
+    assert set(next(iter(got.values())).asDict()) == {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}
+    for i, t in rows:
+        kinds = [x.split(":")[0] for x in secrets.reference_spans(t).split(",")]
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(kinds.count(k) for k in secrets.KINDS[:3])
+        assert got[i].base_sha256 == hashlib.sha256(secrets.reference_spans(t).encode()).hexdigest()
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert secrets.op5_secrets(spark, f"{tmp_path}/none").count() == 0
+
+
 # 6
 
 
