@@ -24,7 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, table, tidy
@@ -59,6 +59,8 @@ class Ranks:
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank (and so id) of each pair, or NONE."""
         key = (left << 32) | right
+        if not len(self.keys):  # a vocabulary of bytes alone
+            return np.full(np.shape(key), NONE)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
@@ -201,11 +203,18 @@ class Ranks:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@cache
-def ranks(name: str) -> Ranks:
-    """The vocabulary of an added file, loaded once a worker."""
-    with open(SparkFiles.get(name), "rb") as f:
-        return Ranks(f.read())
+#: Bytes that a rank file may have, since every executor gets it.
+MOST_BYTES = 64 << 20
+_loaded: dict[str, Ranks] = {}
+
+
+def ranks(shipped: tuple[str, Broadcast]) -> Ranks:
+    """The vocabulary, loaded once a worker and told apart by its content."""
+    digest, data = shipped
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = Ranks(data.value)
+    return _loaded[digest]
 
 
 @cache
@@ -224,20 +233,23 @@ def groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[int]:
         yield lo
 
 
-def ship(spark: SparkSession, path: str) -> str:
-    """Makes a rank file known to the executors; its size is that of a vocabulary, whatever the corpus."""
+def ship(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """A rank file for the executors; its size is that of a vocabulary, whatever the corpus."""
     bounded_batches(spark)
-    spark.sparkContext.addFile(path)
-    return path.rpartition("/")[2]
+    with open(path, "rb") as f:
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"a rank file has at most {MOST_BYTES} bytes")
+    return hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", decode: bool = True, ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each row; with ids also the ids as token_ids array<int>."""
-    name = ship(docs.sparkSession, vocabulary)
+    shipped = ship(docs.sparkSession, vocabulary)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, split = ranks(name), splitter(pattern)
+        r, split = ranks(shipped), splitter(pattern)
         for b in batches:
             lo = 0
             for hi in groups(b.column(1)):  # matches of a few rows are learnt together, their ids live no longer
@@ -263,11 +275,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
 
 def decode_ids(rows: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """(key, data binary): the bytes of each list of ids; null lists give empty bytes."""
-    name = ship(rows.sparkSession, vocabulary)
+    shipped = ship(rows.sparkSession, vocabulary)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = ranks(name)
+        r = ranks(shipped)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([r.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], [key, "data"])
 

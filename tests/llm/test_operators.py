@@ -220,6 +220,28 @@ def test_bpe_is_tiktoken(spark):
     assert bpe.encode_texts(df.limit(0), P.path(bpe.VOCABULARY), P.PATTERN).count() == 0
 
 
+@has_data
+def test_bpe_query_is_tiktoken(spark, tmp_path):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    r = bpe.Ranks(Path(P.path(bpe.VOCABULARY)).read_bytes())
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    got = {x.doc_id: x for x in bpe.op3_bpe(spark, DATA).collect()}
+    for i, t in docs_of():
+        ids = e.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    # another vocabulary under the same file name
+    other = tmp_path / bpe.VOCABULARY
+    other.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)))
+    docs = spark.createDataFrame([(1, "ab")], DOCS)
+    assert [x.n_tokens for x in bpe.encode_texts(docs, str(other), P.PATTERN).collect()] == [2]
+    assert [x.n_tokens for x in bpe.encode_texts(docs, P.path(bpe.VOCABULARY), P.PATTERN).collect()] == [1]
+
+
 def test_bpe_trees_agree():
     import public_tokenizers as P
 
