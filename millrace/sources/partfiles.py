@@ -45,14 +45,18 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, serialise: Callable[[list[dict]], bytes]):
+    def __init__(self, path: str, serialise: Callable[[list[dict]], bytes] | None):
         self.path, self.serialise, self.run = path, serialise, uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> _Written:
         pid = TaskContext.get().partitionId()
         temporary = f"{self.path}/.{pid}.{self.run}.{TaskContext.get().taskAttemptId()}"
         with open(temporary, "wb") as f:
-            f.write(self.serialise([r for b in iterator for r in b.to_pylist()]))
+            if self.serialise is None:
+                for b in iterator:
+                    f.write(default_serialise(b.to_pylist()))
+            else:
+                f.write(self.serialise([r for b in iterator for r in b.to_pylist()]))
         return _Written(temporary, f"{self.path}/{pid}")
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -67,10 +71,10 @@ class _Writer(DataSourceArrowWriter):
 
 
 def save(df: DataFrame, path: str, serialise: Callable[[list[dict]], bytes] | None = None) -> None:
-    """Writes partition i of df to <path>/i, an empty partition as what serialise makes of no rows."""
+    """Writes partition i of df to <path>/i, an empty partition as what serialise makes of no rows. A serialiser of one's own
+    gets a whole partition, since its format may need that; lines of fields are written a batch at a time."""
     path = re.sub("^file:/*", "/", path)
     os.makedirs(path, exist_ok=True)
-    fn = serialise or default_serialise
 
     class PartFiles(DataSource):
         @classmethod
@@ -78,7 +82,7 @@ def save(df: DataFrame, path: str, serialise: Callable[[list[dict]], bytes] | No
             return "millrace_partfiles"
 
         def writer(self, schema, overwrite):
-            return _Writer(path, fn)
+            return _Writer(path, serialise)
 
     df.sparkSession.dataSource.register(PartFiles)
     df.write.format("millrace_partfiles").mode("append").save()
