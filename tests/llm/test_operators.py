@@ -485,6 +485,23 @@ def test_ngram_join_gives_all_links(spark, monkeypatch, k, num, tile):
     assert count == {i: sum(x == i for x, _ in want) for i in sets}
 
 
+def test_ngram_join_of_near_copies_that_are_not_linked(spark, monkeypatch):
+    """One shard of many members, each a component of its own, and not all of them linked."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in rng.sample(range(0, 70, 7), rng.choice([1, 2, 2, 3])):
+            w[k] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    want = ngram_join.brute_force(rows, 3, 90, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect()}
+    assert got == want
+    assert 1 < len({c for _, c in want.values()})
+
+
 def test_ngram_join_cases(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "x y z"), (7, "X Y z"), (8, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect())
