@@ -3,11 +3,12 @@
 import random
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import arrow, python, saturating_int, saturating_unsigned
-from millrace.operators.aggregators import COUNT, MAX, General
+from millrace.operators.aggregators import COUNT, MAX, Arrow, General
 from millrace.operators.dataset import Dataset, read_partitions_from
 from millrace.operators.partitioners import ById, Hash, Range
 
@@ -212,3 +213,70 @@ def test_saturating_casts(make):
     d = make([[-2.5, 0.4, 7.9, float("nan"), 1e30, -1e30]], "x double")
     assert rows(d.map(lambda x: {"y": saturating_unsigned(x)})) == [0, 0, 7, 0, 2**63 - 1, 0]
     assert rows(d.map(lambda x: {"y": saturating_int(x)})) == [-2, 0, 7, 0, 2**31 - 1, -(2**31)]
+
+
+@pytest.mark.parametrize("held", [1, 50, 100_000])
+def test_arrow_aggregator_combines_in_tasks(spark, held):
+    rows = [(i % 7 if i % 3 else 0, i) for i in range(2000)] + [(None, 5), (8, None)]
+    d = Dataset(spark.createDataFrame(rows, "k int, v bigint").repartition(3))
+
+    def summed(t):
+        g = t.group_by("k").aggregate([("v", "sum")])
+        return pa.table({"k": g.column("k"), "v": g.column("v_sum")})
+
+    total = Arrow("bigint", summed, summed, held=held)
+    got = {r.k: r.s for r in d.shuffle("k", "v", total, out="s").collect()}
+    want = {}
+    for k, v in rows:
+        want[k] = None if v is None and k not in want else (want.get(k) or 0) + (v or 0)
+    assert got == want
+    doubled = Arrow("bigint", summed, summed, lambda t: t.set_column(1, "v", pa.compute.cast(t.column("v"), pa.float64())), "double")
+    assert {r.k: r.v for r in d.shuffle("k", "v", doubled).collect()} == {k: None if v is None else float(v) for k, v in want.items()}
+    assert d.filter(lambda k, v: k > 100).shuffle("k", "v", total).collect() == []
+
+
+def test_predicates_in_three_tiers(spark):
+    d = Dataset(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string"))
+    want = [(1, "a"), (3, "c")]
+    for f in (lambda k, v: v.isNotNull(), arrow(lambda b: b.column("v").is_valid()), python(lambda r: r["v"])):
+        assert sorted(tuple(r) for r in d.filter(f).collect()) == want
+    assert [tuple(r) for r in d.filter_with_state(2, python(lambda s, r: r["k"] > s)).collect()] == [(3, "c")]
+
+
+def test_sample_sizes(spark):
+    d = Dataset(spark.range(0, 30_000, 1, 3).toDF("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        for n in (0, 1, 499, 501, 10_000, 20_000):
+            got = [r.x for r in d.sample(n, seed=3).collect()]
+            assert got == sorted(set(got)) and [sum(p * 10_000 <= x < (p + 1) * 10_000 for x in got) for p in range(3)] == [min(n, 10_000)] * 3
+        assert d.sample(50, seed=1).collect() == d.sample(50, seed=1).collect() != d.sample(50, seed=2).collect()
+        # every place has the same chance
+        means = [sum(r.x for r in d.sample(100, seed=s).collect()) / 300 for s in range(20)]
+        assert abs(sum(means) / 20 - 15_000) < 500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_sort_into_partitions(spark, monkeypatch, kind, descending):
+    from millrace.operators import dataset
+
+    monkeypatch.setattr(dataset, "SORT_SAMPLE_ALL", 200)
+    rows = [(None if i % 50 == 0 else f"{i * 37 % 1000:04}", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "s string, i int").select(F.col("s").cast(kind).alias("k"), "i")
+    out = Dataset(df).sort("k", "i", partitions=5, descending=descending).df
+    got = [tuple(r) for r in out.collect()]
+    plain = lambda r: (r[0] is not None, r[0] if r[0] is not None else "", r[1])
+    assert got == sorted(((r.k, r.i) for r in df.collect()), key=plain, reverse=descending)
+    sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 5 and max(r["count"] for r in sizes) < 400
+    assert Dataset(df.limit(0)).sort("k", partitions=3, descending=descending).collect() == []
+
+
+def test_range_buckets_are_found_in_runs(spark):
+    dividers = tuple(sorted({(i * i) % 1009 for i in range(300)}))
+    keys = [-1, 0, 1, 500, 1008, 2000, *dividers[::17]]
+    got = spark.createDataFrame([(k,) for k in keys], "k int").select("k", Range(dividers).bucket(F.col("k")).alias("b")).collect()
+    assert {r.k: r.b for r in got} == {k: sum(d < k for d in dividers) for k in keys}
