@@ -26,6 +26,7 @@ gives an empty result; further columns are ignored. Long texts are looked at who
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -239,12 +240,16 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     out = set()
     for i, t in docs:
         d = tokens_of(t)
+        places: dict[bytes, list[int]] = {}
+        for p, w in enumerate(d):
+            places.setdefault(w, []).append(p)
         for j, u in items:
             x = tokens_of(u)
             m, size = len(x), min(WINDOW, len(x))
             if m < max(1, least):
                 continue
-            for shift in range(-m, len(d)):
+            agree = Counter(p - k for k, w in enumerate(x) for p in places.get(w, ()))
+            for shift in (s for s, n in agree.items() if DEN * n >= NUM * size):
                 same = [0 <= k + shift < len(d) and d[k + shift] == x[k] for k in range(m)]
                 if any(DEN * sum(same[a : a + size]) >= NUM * size for a in range(m - size + 1)):
                     out.add((i, j))
