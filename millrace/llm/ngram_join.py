@@ -7,8 +7,9 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 1. Shards. Two linked sets share a member among the first n - ceil(num n / den) + 1 of each in any one order of all
    n-grams; those members are keys. The order puts n-grams that are common in the corpus last. How common is read off
    a count sketch of SLOTS counters over all documents: of fixed size, and only an order, so its errors cost time, never
-   a link. Keys that one node alone has are dropped after a partial aggregation; of keys with the very same nodes the
-   first in the order stays.
+   a link. Keys that one node alone has are dropped after a partial aggregation, and so are rows of keys at which no size
+   of a partner leaves enough for a link: where the first common key of a link is, the smaller set has twice num / (num +
+   den) of itself to come. Of keys with the very same nodes the first in the order stays.
 2. Count vectors. Each set's members are hashed into GROUPS groups; the group counts are a point. The sum of coordinate
    minima of two points is no less than their overlap. Pairs are held against counts in about as many groups as a set
    has members before the sets themselves are fetched.
@@ -18,7 +19,9 @@ it is empty and linked with nothing. Two documents link when den * |A and B| >=
 4. R-tree. Shards of three members or more of different components are joined: an R-tree over the count vectors, whose
    nodes hold coordinate maxima and the range of sizes, is asked for each member's partners of another component. A pair
    is handed on by the shard of its first common key alone, and only if what follows that key in both orders is enough
-   for a link. Shards of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded group; those
+   for a link. k sets that are near each other and not linked share many keys, each with other members; a row names the
+   LAST keys before its own, and goes no further where each partner has met it at one of those, so that few of their
+   shards are left. Shards of more than BLOCK members are cut into blocks, and every pair of blocks is one bounded group; those
    of the component that most members are of have blocks of their own, which aren't paired with each other, so a shard of
    k members of one component and a few others costs about k. Surviving pairs are verified.
 5. Components of the links so far, and the smallest doc_id of each. Steps 3 and 4 look at no pair that is connected
@@ -47,6 +50,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import among, dropped, pieces, row_key, stored, table, tidy
@@ -65,6 +69,8 @@ LEAF, FAN = 16, 8
 TILE, TILE_MEMBERS, COLUMNS = 256, 1 << 20, 4096
 #: Keys before its own that a row of a shard names, to tell whether a pair has met already; more meet twice, no harm.
 BEFORE = 64
+#: As many of them travel with every row, to leave most shards of near sets out before counts are fetched.
+LAST = 8
 
 
 def sets_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,9 +287,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
         yield out()
 
 
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of at most LAST keys as rows of a matrix, filled up with -1; keys are never negative."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), LAST), -1)
+    out[np.arange(LAST) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def _promising(num: int, den: int):
     """Of rows sorted by (key, i, j), each group of which is one or two blocks, those with a partner of another component
-    that sizes and what follows the key in both allow."""
+    that sizes and what follows the key in both allow, and that isn't known to share an earlier key."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,20 +305,29 @@ def _promising(num: int, den: int):
             comp, n, pos, side, same = (g.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n", "pos", "side", "same"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             rest = n - pos
+            last = _padded(g.column("last"))
             keep = np.zeros(len(n), bool)
             width = np.diff(cuts)
             for k in np.flatnonzero(width > LEAF):
                 a, e = int(cuts[k]), int(cuts[k + 1])
                 for lo in range(a, e, BLOCK):
-                    hi = min(lo + BLOCK, e)
-                    keep[lo:hi] = fits(comp, n, rest, side, same, np.arange(lo, hi)[:, None], np.arange(a, e)).any(1)
+                    x, y = np.nonzero(fits(comp, n, rest, side, same, np.arange(lo, min(lo + BLOCK, e))[:, None], np.arange(a, e)))
+                    keep[lo + x[fresh(last, lo + x, a + y)]] = True
             of, end = np.repeat(width, width), np.repeat(cuts[1:], width)
             for d in range(1, min(LEAF, int(width.max()))):
                 x = np.flatnonzero((of <= LEAF) & (np.arange(len(of)) + d < end))
                 x = x[fits(comp, n, rest, side, same, x, x + d)]
+                x = x[fresh(last, x, x + d)]
                 keep[x] = keep[x + d] = True
             yield g.filter(pa.array(keep))
 
+    def fresh(last: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(x), bool)
+        for c in range(LAST):
+            own = last[x, c]
+            met |= (own >= 0) & (own[:, None] == last[y]).any(1)
+        return ~met
+
     def fits(comp, n, rest, side, same, x, y) -> np.ndarray:  # noqa: ANN001
         return (
             (comp[x] != comp[y]) & (same[x] | (side[x] != side[y]))
@@ -499,17 +522,23 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(commonness(docs.select("text"), k))
     p = stored(docs.select("id", "text", row_key("id", "text").alias("row")).mapInArrow(_profiles(k, num, den, levels), "id bigint, row bigint, node bigint, n bigint, score bigint, vec binary, fine binary, keys array<bigint>"), "profiles")
-    rows = p.where("node is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    # the score travels with each key: to fetch it later for the leaders' sake would be a join with all rows of shards
+    rows = p.where("node is not null").select("node", F.col("n").cast("int").alias("n"), "score", F.posexplode("keys").alias("pos", "key"))
     # what a join's small side was aggregated to is stored first: both sides are then plain exchanges, which adaptive
     # execution can split where a key is hot
-    shared = stored(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "shared")
-    every = stored(rows.join(shared, "key", "left_semi").distinct(), "members")
+    rest, size = (F.col("n") - F.col("pos")).cast("bigint"), F.col("n").cast("bigint")
+    smaller = F.when(rest * (num + den) >= 2 * num * size, size)  # sizes of those that can be the smaller of a link
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(smaller).alias("least"), F.max(smaller).alias("most"))
+    shared = stored(shared.where("lo < hi and least is not null").select("key", "least", "most"), "shared")
+    every = rows.join(shared, "key").where((rest * (num + den) >= num * (size + F.col("least"))) & (F.col("most") * den >= num * size))
+    every = stored(every.select(*rows.columns).distinct(), "members")
     # near copies share many keys: of the keys with the very same members the first is enough
     alike = every.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"), F.count("*").alias("c"))
-    alike = stored(alike.groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c"), "alike")
-    members = stored(every.join(alike, "key"), "members")
+    alike = stored(alike.where("c > 1").groupBy("s1", "s2", "c").agg(F.min("key").alias("key")).select("key", "c"), "alike")
+    last = F.collect_list("key").over(Window.partitionBy("node").orderBy("key", "pos").rowsBetween(-LAST, -1))
+    members = stored(every.join(alike, "key").withColumn("last", last), "members")
     found = members.select("node").distinct()
-    node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "nodes")
+    node = stored(p.where("node is not null").join(found, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "nodes")
     ids = stored(p.select("id", "row", "node", "n"), "ids")
     dropped(p, shared, every, alike)
     point = lambda c, v: node.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(v).alias(f"v{c}"))
@@ -530,7 +559,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
         dropped(first, pairs, codes)
         return links, sets
 
-    leader = stored(members.select("key", "node").join(node.select("node", "score"), "node").groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a")), "leader")
+    leader = stored(members.groupBy("key").agg(F.min(F.struct(-F.col("score"), F.col("node").alias("node")))["node"].alias("a")), "leader")
     led = members.select("key", "c", F.col("node").alias("b")).join(leader, "key").where("a <> b")
     # of larger shards each node takes the leader that it shares most with: the others' pairs, if still open, follow below
     most = led.where("c > 2").groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("a"))
@@ -538,7 +567,7 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     links, sets = verified(bounded(stars, "vec"))
     comp = stored(components(links), "components")
     # of two members the only pair was a star
-    m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "placed")
+    m = stored(members.where("c > 2").join(comp, "node", "left").select("key", "node", "n", "pos", "last", F.coalesce("component", "node").alias("comp")), "placed")
     parts = stored(m.groupBy("key", "comp").agg(F.count("*").alias("c")), "parts")
     open_keys = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     large = F.col("c") > BLOCK
@@ -552,8 +581,8 @@ def joined(docs: DataFrame, k: int, num: int, den: int) -> Joined:
     # by sizes and positions first: counts and keys of a node travel only where it may have a partner
     block = ("key", "i", "j")
     grouped = lambda df, rows: df.repartition(pieces(spark, rows, 64 * BLOCK), *block).sortWithinPartitions(*block)
-    m = grouped(m.select(*block, "same", "side", "node", "comp", "n", "pos"), dealt)
-    m = stored(m.mapInArrow(_promising(num, den), m.schema), "promising")
+    m = grouped(m.select(*block, "same", "side", "node", "comp", "n", "pos", "last"), dealt)
+    m = stored(m.mapInArrow(_promising(num, den), m.schema).drop("last"), "promising")
     earlier = F.filter("own", lambda x: x < F.col("key"))
     full = m.join(own, "node").withColumn("before", F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - BEFORE + 1), BEFORE)).drop("own")
     full = full.join(node.select("node", "vec"), "node")

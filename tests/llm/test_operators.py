@@ -502,6 +502,36 @@ def test_ngram_join_of_near_copies_that_are_not_linked(spark, monkeypatch):
     assert 1 < len({c for _, c in want.values()})
 
 
+def test_ngram_join_hands_on_few_shards_of_near_sets(spark, monkeypatch):
+    """Sets that share most members, and so most shards, without being linked: rows that are handed on don't grow with the
+    square of their number. Among them are links of very unequal sizes, just at the limit, and some of equal sizes."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for _ in range(40):
+        w = list(base)
+        for at in rng.sample(range(1000), 25):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append(w)
+    rows += [rows[0][: 4 + round(0.8 * 996) + d] for d in (-1, 0, 1)] + [rows[1][200:] + ["y"], rows[2][:500] + ["z"] * 9 + rows[2][500:], rows[3][30:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    kept = {}
+    store = ngram_join.stored
+
+    def stored(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    # as in a large corpus, where n-grams of a few tens of sets are no commoner than others
+    monkeypatch.setattr(ngram_join, "commonness", lambda *_: np.zeros(ngram_join.SLOTS, np.uint8))
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    monkeypatch.setattr(ngram_join, "dropped", lambda *_: None)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(spark.createDataFrame(rows, DOCS), 5, 80, 100).collect()}
+    assert got == ngram_join.brute_force(rows, 5, 80, 100)
+    assert len({c for _, c in got.values()}) < len(rows)
+    assert kept["promising"].count() < 10 * len(rows)
+
+
 def test_ngram_join_cases(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "x y z"), (7, "X Y z"), (8, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect())
